@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civictally.llm.formatting import formatting_duplicates
+from civictally.llm.leakage import find_leaks
+from civictally.llm.spans import shared_spans
 from civictally.llm.topn import top_n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +77,20 @@ def p7_found(spark, d):
 def p7_copies(spark, d):
     """One row per repeated record with its number of copies."""
     return _copies(spark, d).where("copy_id = first_id").select(F.col("first_id").alias("row_id"), "copies")
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    return p8_leaks(spark, d).where("longest_run >= 13").select("doc_id", "item_id")
+
+
+@query("p8_leaks")
+def p8_leaks(spark, d):
+    """Leaked passages, exact or edited, with the quality of their alignment."""
+    found = find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return found.where("longest_run >= 13 or item_share >= 0.5")
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return shared_spans(table(spark, d, "documents"), "doc_id", "text", 60)
