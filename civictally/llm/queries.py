@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civictally.llm.canonical import map_to_canonical
 from civictally.llm.formatting import formatting_duplicates
 from civictally.llm.leakage import find_leaks
 from civictally.llm.spans import shared_spans
@@ -94,3 +95,16 @@ def p8_leaks(spark, d):
 @query("p10_found")
 def p10_found(spark, d):
     return shared_spans(table(spark, d, "documents"), "doc_id", "text", 60)
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    gifts, funding = table(spark, d, "contributions"), table(spark, d, "funding")
+    return map_to_canonical(
+        [
+            ("contributions.contrib_employer", gifts, "row_id", "contrib_employer", "employer"),
+            ("contributions.contrib_occupation", gifts, "row_id", "contrib_occupation", "occupation"),
+            ("funding.employer", funding, "funding_id", "employer", "employer"),
+        ],
+        table(spark, d, "reference_values"),
+    )
