@@ -12,6 +12,7 @@ from civictally.llm.formatting import formatting_duplicates
 from civictally.llm.leakage import find_leaks
 from civictally.llm.spans import shared_spans
 from civictally.llm.topn import top_n
+from civictally.llm.variants import name_variants, variant_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +109,14 @@ def p3_found(spark, d):
         ],
         table(spark, d, "reference_values"),
     )
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    donors = name_variants(
+        [
+            ("contributions", table(spark, d, "contributions"), "committee_id", "row_id", "contributor"),
+            ("funding", table(spark, d, "funding"), "official_id", "funding_id", "name"),
+        ]
+    )
+    return variant_pairs(donors)
