@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from civictally.llm.canonical import map_to_canonical
 from civictally.llm.formatting import formatting_duplicates
 from civictally.llm.leakage import find_leaks
+from civictally.llm.mixture import mix_sources
 from civictally.llm.spans import shared_spans
 from civictally.llm.topn import top_n
 from civictally.llm.variants import name_variants, variant_pairs
@@ -120,3 +121,19 @@ def p6_found(spark, d):
         ]
     )
     return variant_pairs(donors)
+
+
+def _mixed(spark, d):
+    return mix_sources(table(spark, d, "documents"), "source", "text", table(spark, d, "mix_targets"))
+
+
+@query("p9_mixture")
+def p9_mixture(spark, d):
+    """The combined texts as blocks of tokens."""
+    return _mixed(spark, d)[0]
+
+
+@query("p9_shares")
+def p9_shares(spark, d):
+    """The share that each source reached."""
+    return _mixed(spark, d)[1]
