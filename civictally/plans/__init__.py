@@ -1,6 +1,6 @@
 """Queries over the test tables, one per operator."""
 
-from civictally.plans import found, registry
+from civictally.plans import checks, found, profile, registry
 
 
 def core_queries():
