@@ -73,12 +73,13 @@ def normal_form(text: str | None) -> str:
 def phonetic(word: str) -> str:
     """Consonants as they sound, in order; an initial vowel as a."""
     w = word.replace("ph", "f").replace("ck", "k").translate(_SOUND)
-    w = re.sub(r"(?<=[^aeiou])h", "", w)
-    w = re.sub(r"(.)\1+", r"\1", w)
-    return ("a" if w[:1] in "aeiou" else "") + re.sub("[aeiou]", "", w)
+    w = _DOUBLE.sub(r"\1", _SILENT.sub("", w))
+    return ("a" if w[:1] in "aeiou" else "") + w.translate(_NO_VOWELS)
 
 
 _SOUND = str.maketrans("cqzywj", "kksivg")
+_NO_VOWELS = str.maketrans("", "", "aeiou")
+_SILENT, _DOUBLE = re.compile(r"(?<=[^aeiou])h"), re.compile(r"(.)\1+")
 
 
 @lru_cache(200_000)
@@ -131,6 +132,10 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or (i + 1 < n and a[i] == b[i + 1] and a[i + 1] == b[i] and a[i + 2 :] == b[i + 2 :])
 
 
+# Marks of a generation.
+GENERATIONS = frozenset(("jr", "sr", "ii", "iii", "iv"))
+
+
 class Name:
     """The parts of a normal form."""
 
@@ -138,10 +143,10 @@ class Name:
 
     def __init__(self, form: str):
         words = form.split(" ")
-        self.marks = tuple(w for w in words if any(c.isdigit() for c in w) or w in ("jr", "sr", "ii", "iii", "iv"))
+        self.marks = tuple(w for w in words if w in GENERATIONS or not w.isalpha())
         self.full = tuple(w for w in words if len(w) > 1 and w not in self.marks)
         self.initials = tuple(w for w in words if len(w) == 1 and w not in self.marks)
-        self.person = not any(w in ORGANISATION for w in self.full) and len(self.full) <= 2 and not any(c.isdigit() for c in form)
+        self.person = len(self.full) <= 2 and all(w in GENERATIONS for w in self.marks) and ORGANISATION.isdisjoint(self.full)
 
 
 def _ends(word: str) -> list[str]:
@@ -154,10 +159,9 @@ def _ends(word: str) -> list[str]:
     return out
 
 
-def block_keys(form: str) -> set[str]:
+def block_keys(name: Name) -> set[str]:
     """Blocks in which the form meets its variants: the phonetic codes of its sorted
     words, and all codes but one with an end of the word left out."""
-    name = Name(form)
     words = name.full
     if len(words) < 2:
         return {"1" + phonetic(words[0]) + "".join(name.marks)} if words and not name.initials else set()
@@ -177,10 +181,9 @@ def block_keys(form: str) -> set[str]:
     return keys
 
 
-def initial_keys(form: str) -> tuple[set[str], set[str]]:
+def initial_keys(name: Name) -> tuple[set[str], set[str]]:
     """For a name with one full word and initials: where it looks for its full form;
     and for any person's name where it is found."""
-    name = Name(form)
     if not name.person or not name.full:
         return set(), set()
     if len(name.full) == 1:
@@ -216,12 +219,17 @@ def _short_for(a: str, b: str) -> float:
     return 0.95 if all(c in letters for c in a) else 0.0
 
 
+@lru_cache(50_000)
+def parsed(form: str) -> Name:
+    return Name(form)
+
+
 def compare(left: str, right: str, common: frozenset = frozenset()) -> float:
     """0 to 1: how far two normal forms name the same; accepted from ACCEPT on.
 
     Numbers and generation marks must agree. Two words that are both common in the
     data are different words, however alike (Maria and Marta)."""
-    a, b = Name(left), Name(right)
+    a, b = parsed(left), parsed(right)
     if a.marks != b.marks or a.person != b.person:
         return 0.0
     if a.person and min(len(a.full), len(b.full)) == 1 != max(len(a.full), len(b.full)):

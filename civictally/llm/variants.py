@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civictally.llm.components import connected_components
-from civictally.llm.names import block_keys, compare, initial_keys, normal_form
-from civictally.session import cut
+from civictally.llm.grams import hash_words, mix
+from civictally.llm.names import Name, block_keys, compare, initial_keys, normal_form
+from civictally.session import cut, shared_dir
 
 #: Least comparison score of a link.
 ACCEPT = 0.9
@@ -57,32 +61,20 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
 
     texts = texts.mapInPandas(normalise, "source_table string, grp string, form string, id bigint")
     # a form is known by a hash; only two forms of one group could be confused by it
-    texts = cut(texts.select("source_table", "grp", "form", "id", F.xxhash64("source_table", "grp", "form").alias("node")))
+    texts = _stored(texts.select("source_table", "grp", "form", "id", F.xxhash64("source_table", "grp", "form").alias("node")))
     forms = texts.groupBy("node").agg(F.min("form").alias("form"), F.min(F.xxhash64("source_table", "grp")).alias("place"), F.count("*").alias("texts"))
-    forms = cut(forms)
-    common = _common_words(forms)
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for node, place, form in zip(pdf["node"], pdf["place"], pdf["form"]):
-                ask, found = initial_keys(form)
-                rows += [(place, k, 0, node) for k in block_keys(form)]
-                rows += [(place, k, 1, node) for k in ask]
-                rows += [(place, k, 2, node) for k in found]
-            yield pd.DataFrame(rows, columns=["place", "key", "role", "node"])
-
-    blocks = forms.select("node", "place", "form").mapInPandas(keys, "place bigint, key string, role int, node bigint")
-    blocks = blocks.select(F.xxhash64("place", "key", F.least("role", F.lit(1))).alias("key"), "role", "node")
-    a = blocks.where("role = 0").select("key", F.col("node").alias("a"))
-    b = blocks.where("role = 0").select("key", F.col("node").alias("b"))
+    blocks = _stored(forms.mapInArrow(_keyed, "node bigint, form string, texts bigint, met array<bigint>, ask array<bigint>, found array<bigint>"))
+    a = blocks.select(F.explode("met").alias("key"), F.col("node").alias("a"))
+    b = blocks.select(F.explode("met").alias("key"), F.col("node").alias("b"))
     pairs = a.join(b, "key").where("a < b").select("a", "b").distinct()
-    ask = blocks.where("role = 1").select("key", F.col("node").alias("a"))
-    found = blocks.where("role = 2").select("key", F.col("node").alias("b"))
+    ask = blocks.select(F.explode("ask").alias("key"), F.col("node").alias("a"))
+    found = blocks.select(F.explode("found").alias("key"), F.col("node").alias("b"))
     asked = ask.join(found, "key").where("a <> b").select("a", "b").distinct()
+    common = _common_words(blocks)
     pairs = pairs.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
-    named = forms.select(F.col("node").alias("a"), F.col("form").alias("form_a"))
-    others = forms.select(F.col("node").alias("b"), F.col("form").alias("form_b"), F.col("texts").alias("weight"))
+    named = blocks.select(F.col("node").alias("a"), F.col("form").alias("form_a"))
+    others = blocks.select(F.col("node").alias("b"), F.col("form").alias("form_b"), F.col("texts").alias("weight"))
     pairs = pairs.join(named, "a").join(others, "b")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,6 +90,33 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
     return texts.join(members, "node", "left").select("source_table", "grp", "id", F.coalesce("component", "node").alias("donor"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder as a compressed table and read from there."""
+    folder = f"{shared_dir(df.sparkSession)}/names-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _lists(places: np.ndarray, keys: list[set[str]]) -> pa.Array:
+    """Keys of each form as hashes that also tell the groups apart."""
+    counts = np.array([len(k) for k in keys], np.int64)
+    flat = [k for own in keys for k in own]
+    hashed = hash_words(flat) ^ (np.repeat(places, counts).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(mix(hashed).view(np.int64)))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        forms, places = b.column("form").to_pylist(), b.column("place").to_numpy().astype(np.int64)
+        names = [Name(f) for f in forms]
+        met = [block_keys(n) for n in names]
+        initials = [initial_keys(n) for n in names]
+        lists = [_lists(places, x) for x in (met, [i[0] for i in initials], [i[1] for i in initials])]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("node"), b.column("form"), b.column("texts"), *lists], ["node", "form", "texts", "met", "ask", "found"]
+        )
+
+
 def _common_words(forms: DataFrame) -> frozenset:
     """Words in so many forms that they are names of their own, not slips of one another: a
     bounded number, as only shares above COMMON_SHARE count."""
