@@ -56,8 +56,8 @@ class Items:
         self.grams = [window_hashes(h, SEED) for h in self.hashes]
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
 
-    def seeds(self, frequency: dict[int, int], run: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted seeds and the item of each: of every ``run`` consecutive words of an
+    def seeds(self, frequency: dict[int, int], reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted seeds and the item of each: of every ``reach`` consecutive words of an
         item (all of a shorter item) the seed rarest in the corpus."""
         chosen, owner = [], []
         for i, grams in enumerate(self.grams):
@@ -67,7 +67,7 @@ class Items:
             order = np.lexsort((grams, rarity))
             rank = np.empty(len(grams), np.int64)
             rank[order] = np.arange(len(grams))
-            width = min(run - SEED + 1, len(grams))
+            width = min(reach - SEED + 1, len(grams))
             picks = np.unique(order[np.lib.stride_tricks.sliding_window_view(rank, width).min(axis=1)])
             chosen.append(grams[picks])
             owner.append(np.full(len(picks), i))
@@ -116,8 +116,8 @@ def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
     return {r.gram: r.n for r in rows.collect()}
 
 
-def _aligned(texts: DataFrame, items: Items, item_type: T.DataType, run: int) -> DataFrame:
-    seeds, owner = items.seeds(_frequencies(texts, items), run)
+def _aligned(texts: DataFrame, items: Items, item_type: T.DataType, reach: int) -> DataFrame:
+    seeds, owner = items.seeds(_frequencies(texts, items), reach)
     schema = T.StructType(
         [
             T.StructField("doc_id", texts.schema[0].dataType),
@@ -153,15 +153,15 @@ def _aligned(texts: DataFrame, items: Items, item_type: T.DataType, run: int) ->
 
 
 def find_leaks(
-    documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run: int = 13
+    documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, reach: int = 8
 ) -> DataFrame:
     """Documents that hold passages of held-out items, with how well they align.
 
     Words are maximal runs of letters and digits in lower case. First the corpus
     frequency of every five-word seed of the items is counted over all documents.
-    Of each ``run`` consecutive words of an item the rarest seed is kept, so a
-    document sharing so many words has that seed, whatever its frequency: rarity
-    cuts the number of candidates, never cases. Each document with a seed of an
+    Of each ``reach`` consecutive words of an item the rarest seed is kept, so a
+    document sharing a run of so many words has that seed, whatever its frequency:
+    rarity cuts the number of candidates, never such cases. Each document with a seed of an
     item is aligned with the item by Smith-Waterman over words.
 
     Columns: ``doc_id``, ``item_id`` (types as given), ``score``, ``item_share`` (the score
@@ -185,7 +185,7 @@ def find_leaks(
     item_type = rows.schema[0].dataType
 
     def flush(found):
-        part = _aligned(texts, Items(ids, block), item_type, run)
+        part = _aligned(texts, Items(ids, block), item_type, reach)
         return part if found is None else found.unionByName(part)
 
     for r in rows.orderBy("item", "text").toLocalIterator():
