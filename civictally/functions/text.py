@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Words that stand for a missing value.
 BLANK_WORDS = ("none", "n/a", "na", "unknown")
 
-#: White space of any script, as a Java pattern.
-SPACE = r"(?U)\s"
+# The characters that are white space in any script.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _c(x: Column | str) -> Column:
@@ -18,7 +18,7 @@ def _c(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(_c(x), F.lit(WHITE))
 
 
 def blank_to_null(x: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from civictally.functions import text as X
 from civictally.functions import values as V
 from civictally.operators import quality as Q
+from civictally.operators import requests as R
 from civictally.operators.donors import DONOR_TYPES
 from civictally.operators.limits import cooldown, rate_limit
 from civictally.operators.publish import gate, report_lines
@@ -358,7 +359,7 @@ def request_guard_status(spark, d):
     method = F.when(F.col("doc_id") % 11 == 0, "GET").otherwise("POST")
     forwarded = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.0.0."), (F.col("doc_id") % 250).cast("string"), F.lit(", 10.9.9.9")))
     rows = table(spark, d, "documents").select("doc_id", method.alias("method"), request_body(body).alias("body"), forwarded.alias("forwarded"))
-    status = F.when(F.col("method") != "POST", 405).when(F.col("body").isNull() | ~X.question_ok("body.question"), 400).otherwise(200)
+    status = R.guard(F.col("method"), True, F.col("body"), F.col("body.question"), F.lit(False))
     return rows.select("doc_id", status.alias("status"), X.client_ip("forwarded", F.lit(None).cast("string")).alias("client"))
 
 
@@ -370,3 +371,35 @@ def donor_type_filter(spark, d):
     """F1."""
     rows = table(spark, d, "contributions").where(F.lower(X.strip("contribution_type")).isin(*DONOR_TYPES))
     return rows.groupBy("contribution_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "scope_gate",
+    """SELECT event_id, CASE WHEN event_id % 5 IN (2, 4) THEN 502 ELSE 200 END AS status,
+        CASE event_id % 5 WHEN 0 THEN 'Answer ' || json_extract_string(props, '$.k') WHEN 1 THEN 'Declined' WHEN 3 THEN 'Declined' END AS answer,
+        CASE WHEN event_id % 5 = 0 THEN least(event_id % 12, 8) ELSE 0 END::BIGINT AS citations FROM events""",
+)
+def scope_gate(spark, d):
+    """Replies marked in scope, not in scope, broken, of another shape, empty."""
+    n, k = F.col("event_id") % 5, F.get_json_object("props", "$.k")
+    reply = (
+        F.when(n == 0, F.concat(F.lit('```json\n{"in_scope": true, "answer": " Answer '), k, F.lit('"}\n```')))
+        .when(n == 1, F.lit('{"in_scope": false, "answer": "never shown"}'))
+        .when(n == 2, F.lit("no json"))
+        .when(n == 3, F.lit('{"in_scope": "true", "answer": "x"}'))
+        .otherwise(F.lit('{"in_scope": true, "answer": "  "}'))
+    )
+    links = F.when(F.col("event_id") % 12 > 0, F.array_repeat(F.lit("https://www.example.org/a"), (F.col("event_id") % 12).cast("int")))
+    out = table(spark, d, "events").select("event_id", R.outcome(reply, links, F.lit("Declined")).alias("o"))
+    return out.select("event_id", "o.status", "o.answer", F.size("o.citations").cast("bigint").alias("citations"))
+
+
+@query(
+    "question_context",
+    """SELECT official_id, 'Subject: ' || name || ', the ' || office || CASE WHEN party_affiliation IS NULL THEN '' ELSE ' (' || party_affiliation || ')' END || ' representing '
+        || CASE WHEN office ILIKE '%mayor%' THEN 'the City of Riverside' ELSE office END AS told FROM officials""",
+)
+def question_context(spark, d):
+    """P35."""
+    told = R.prompt(F.col("name"), F.col("office"), F.col("party_affiliation"), "Riverside")
+    return table(spark, d, "officials").select("official_id", F.regexp_replace(told, r"\. Use public.*", "").alias("told"))
