@@ -95,7 +95,8 @@ _ORPHANS_SQL = r"""
 
 @query("p4_found", _ORPHANS_SQL + "SELECT source_field, row_key, period_month, reason FROM j WHERE reason IS NOT NULL")
 def p4_found(spark, d):
-    found = orphan_cascade(_graph(spark, d), REFERENCES[:3]).where("kind = 'direct'")
+    found = orphan_cascade(_graph(spark, d), REFERENCES).where("kind = 'direct'")
+    found = found.where(F.col("source_field").isin(*[r.name for r in REFERENCES[:3]]))
     return found.select("source_field", F.col("row_key").cast("bigint").alias("row_key"), "period_month", "reason")
 
 
