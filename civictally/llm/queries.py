@@ -82,7 +82,21 @@ def p7_copies(spark, d):
     return _copies(spark, d).where("copy_id = first_id").select(F.col("first_id").alias("row_id"), "copies")
 
 
-@query("p8_found")
+def _grams_sql(table: str, key: str, words: str, width: int) -> str:
+    """Every run of ``width`` words of each text of a table."""
+    return f"""SELECT {key}, i, array_to_string(w[i:i + {width - 1}], ' ') AS gram FROM (
+        SELECT {key}, w, unnest(range(1, len(w) - {width - 2})) AS i FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL) WHERE len(w) >= {width})"""
+
+
+_LETTERS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_SPACED = r"list_filter(string_split_regex(text, '[\s\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda x: x <> '')"
+
+
+@query(
+    "p8_found",
+    f"""SELECT DISTINCT d.doc_id, e.item_id FROM ({_grams_sql("documents", "doc_id", _LETTERS, 13)}) d
+        JOIN ({_grams_sql("eval_items", "item_id", _LETTERS, 13)}) e USING (gram)""",
+)
 def p8_found(spark, d):
     return p8_leaks(spark, d).where("longest_run >= 13").select("doc_id", "item_id")
 
@@ -94,7 +108,11 @@ def p8_leaks(spark, d):
     return found.where("longest_run >= 13 or item_share >= 0.5")
 
 
-@query("p10_found")
+@query(
+    "p10_found",
+    f"""WITH g AS ({_grams_sql("documents", "doc_id", _SPACED, 60)}), r AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1)
+    SELECT doc_id, count(*) AS shared_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 60)) AS place FROM g JOIN r USING (gram)) GROUP BY doc_id""",
+)
 def p10_found(spark, d):
     return shared_spans(table(spark, d, "documents"), "doc_id", "text", 60)
 
