@@ -12,7 +12,7 @@ from civictally.operators.donors import DONOR_TYPES
 from civictally.operators.limits import cooldown, rate_limit
 from civictally.operators.publish import gate, report_lines
 from civictally.operators.records import enrich_items, record_filter
-from civictally.plans.profile import clean_sql, gifts, strip_sql
+from civictally.plans.profile import GIFTS, LOOKUP, MATCHED, clean_sql, gifts, strip_sql
 from civictally.plans.registry import query, table
 from civictally.sources.files import link_text, request_body
 
@@ -238,7 +238,7 @@ def quality_problems(spark, d):
 
 @query(
     "gift_problems",
-    None,
+    f"WITH {LOOKUP}, {MATCHED}, {GIFTS} SELECT official_id, 'date' AS rule, count(*) AS problems FROM gifts WHERE contribution_date IS NULL GROUP BY 1",
 )
 def gift_problems(spark, d):
     """V3 over the flat gifts of the roll-up."""

@@ -100,7 +100,20 @@ def p4_found(spark, d):
     return found.select("source_field", F.col("row_key").cast("bigint").alias("row_key"), "period_month", "reason")
 
 
-@query("p4_report")
+@query(
+    "p4_report",
+    _ORPHANS_SQL
+    + """, bad AS (SELECT cmt_id FROM committees c WHERE trim(official_id) <> '' AND NOT EXISTS (SELECT 1 FROM officials o WHERE trim(o.official_id) = trim(c.official_id))),
+    links AS (SELECT 'contributions.committee_id' AS source_field, row_id AS row_key, trim(committee_id) AS k, period_beg_date AS p FROM contributions
+        UNION ALL SELECT 'statements_filed.cmt_id', stmt_id, trim(cmt_id), period_from_date FROM statements_filed),
+    everything AS (SELECT source_field, period_month, reason, 'direct' AS kind FROM j WHERE reason IS NOT NULL
+        UNION ALL SELECT 'committees.official_id', 'none', 'missing', 'direct' FROM bad
+        UNION ALL SELECT 'funding.official_id', coalesce(strftime(retrieved_at, '%Y-%m'), 'none'), 'missing', 'direct' FROM funding f
+            WHERE trim(official_id) <> '' AND NOT EXISTS (SELECT 1 FROM officials o WHERE trim(o.official_id) = trim(f.official_id))
+        UNION ALL SELECT l.source_field, coalesce(strftime(l.p, '%Y-%m'), 'none'), 'inherited', 'inherited' FROM links l JOIN bad b ON l.k = trim(b.cmt_id)
+            WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.source_field = l.source_field AND j.row_key = l.row_key AND reason IS NOT NULL))
+    SELECT source_field, period_month, reason, kind, count(*) AS orphans FROM everything GROUP BY ALL""",
+)
 def p4_report(spark, d):
     """Orphans of the whole graph by table, period, reason and kind."""
     found = orphan_cascade(_graph(spark, d), REFERENCES)
@@ -111,7 +124,22 @@ def _records(spark, d):
     return parse_records(table(spark, d, "contribution_lines"), "raw_line", "line_id", ["file_name", "line_no"])
 
 
-@query("p5_found")
+_TRIMMED = r"regexp_replace(f[{}], '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"
+_DAY = r"""CASE WHEN regexp_full_match({0}, '\d{{1,2}}/\d{{1,2}}/\d{{4}}') THEN year(try_strptime({0}, '%m/%d/%Y'))
+    WHEN regexp_full_match({0}, '\d{{4}}-\d{{2}}-\d{{2}}(T00:00:00(\.000)?)?') THEN year(try_strptime(left({0}, 10), '%Y-%m-%d')) END"""
+_RECORDS_SQL = rf"""
+    WITH l AS (SELECT line_id, file_name, regexp_replace(coalesce(raw_line, ''), '\r\z', '') AS line FROM contribution_lines),
+    s AS (SELECT line_id, file_name, regexp_full_match(line, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS quoted,
+        list_transform(regexp_extract_all(',' || line, '(?s),("(?:[^"]|"")*"|[^",]*)', 1), lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM l),
+    t AS (SELECT *, {_TRIMMED.format(9)} AS amount, {_TRIMMED.format(1)} AS day, {_TRIMMED.format(7)} AS period FROM s),
+    r AS (SELECT line_id, file_name, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 11 THEN 'column_count'
+        WHEN NOT regexp_full_match(amount, '-?\$?(\d+|\d{{1,3}}(,\d{{3}})+)(\.\d{{1,2}})?') THEN 'bad_amount'
+        WHEN NOT coalesce(({_DAY.format("day")}) BETWEEN 1900 AND 2099, false) THEN 'bad_date'
+        WHEN NOT coalesce(({_DAY.format("period")}) BETWEEN 1900 AND 2099, false) THEN 'bad_period' END AS reason FROM t)
+"""
+
+
+@query("p5_found", _RECORDS_SQL + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL")
 def p5_found(spark, d):
     return _records(spark, d).where("reason is not null").select("source.line_id", "reason")
 
@@ -122,7 +150,7 @@ def p5_loaded(spark, d):
     return _records(spark, d).where("reason is null").select("source.line_id", *[f"record.{c}" for c in EXPORT_COLUMNS])
 
 
-@query("p5_report")
+@query("p5_report", _RECORDS_SQL + "SELECT file_name, coalesce(reason, 'valid') AS outcome, count(*) AS records FROM r GROUP BY 1, 2")
 def p5_report(spark, d):
     """Records read and rejected by file and reason."""
     return _records(spark, d).groupBy("source.file_name", F.coalesce("reason", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("records"))
