@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table is shipped to every executor (narrow rows: about 20 MB).
+#: Rows and bytes up to which a table is shipped to every executor.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 #: A key holding more than this share of the weighted rows is joined by broadcast.
 #: At most 1 / HOT_SHARE keys can do so, which bounds that broadcast.
 HOT_SHARE = 0.001
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows, reading no more than needed."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row: its texts, and sixteen for each column."""
+    bytes_of = F.lit(16 * len(df.columns)).cast("bigint")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            bytes_of = bytes_of + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            bytes_of = bytes_of + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0))
+    return bytes_of
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes, reading no more rows than needed."""
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(_width(df))).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def dimension_join(

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from civictally.operators import quality as Q
 from civictally.operators import serving as S
-from civictally.operators.joins import lookup_join
+from civictally.operators.joins import is_small, lookup_join
 from civictally.operators.layout import squarify
 from civictally.operators.limits import cooldown, rate_limit, setting
 from civictally.operators.publish import exit_status, publish_documents, publish_table, report_markdown, write_json
@@ -28,6 +28,12 @@ def test_lookup_join_with_hot_key(spark, max_rows):
     assert got.count() == 3000 and got.where("k = 0 and n = 1000").count() == 1000
 
 
+def test_small_tables_are_measured(spark):
+    narrow, wide = spark.range(50), spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit("y")).alias("a"))
+    assert is_small(narrow, 50) and not is_small(narrow, 49)
+    assert is_small(wide, 50) and not is_small(wide, 50, 3000)
+
+
 def test_cross_reference(spark):
     a = spark.createDataFrame([("x",), ("y",), ("y",), ("y",)], "official_id string")
     b = spark.createDataFrame([("y",), ("z",)], "official_id string")
