@@ -64,9 +64,9 @@ def formatting_duplicates(
     full = rows.select(F.col(key).alias("copy_id"), F.xxhash64(*children).alias("digest"), *dict.fromkeys(unordered + exact))
     full = full.join(F.broadcast(repeated) if is_small(repeated, max_rows) else repeated, "digest", "left_semi")
     members = cut(full.select("copy_id", "digest", structure.alias("structure")))
-    records = cut(
-        members.groupBy("digest", "structure")
-        .agg(F.min("copy_id").alias("first_id"), F.count("*").alias("copies"))
-        .where("copies > 1")
-    )
-    return lookup_join(members, records, ["digest", "structure"], "copies", max_rows).select("copy_id", "first_id", "copies")
+    records = members.groupBy("digest", "structure").agg(F.min("copy_id").alias("first_id"), F.count("*").alias("copies"))
+    # compared in full, the structure is told by a cryptographic digest when rows are looked up
+    proof = F.sha2("structure", 256).alias("proof")
+    records = cut(records.where("copies > 1").select("digest", proof, "first_id", "copies"))
+    rows = members.select("copy_id", "digest", proof)
+    return lookup_join(rows, records, ["digest", "proof"], "copies", max_rows).select("copy_id", "first_id", "copies")
