@@ -114,3 +114,9 @@ def donor_type(name: Column | str, has_work: Column) -> Column:
     """Committee words first; a firm only if no row names a job or employer."""
     n = _c(name)
     return F.when(n.rlike(PAC_WORDS), "pac").when(~has_work & n.rlike(BUSINESS_WORDS), "business").otherwise("individual")
+
+
+def refresh_due(ts: Column | str, zone: str) -> Column:
+    """T-8: whether a moment (UTC) falls on the first Monday of a month in a time zone."""
+    local = F.from_utc_timestamp(_c(ts), zone)
+    return (F.dayofweek(local) == 2) & (F.dayofmonth(local) <= 7)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from civictally.functions.values import format_money
+
 # Sort keys of the donor table and their first direction.
 SORT_DEFAULTS = {"name": "asc", "type": "asc", "employer": "asc", "count": "desc", "latest": "desc", "total": "desc"}
 KNOWN_TYPES = ("individual", "pac", "business")
@@ -59,6 +61,21 @@ def filtered_summary(donors: DataFrame, donor_kind: str) -> DataFrame:
     )
 
 
+def summary_text(label: Column) -> Column:
+    """A12 as it is shown; ``label`` names the type, null for all. The whole count is that of all donors."""
+    kind = F.coalesce(F.concat(F.lit(" "), label), F.lit(""))
+    noun = F.when(F.col("donors") == 1, " donor").otherwise(" donors")
+    return F.concat(F.lit("Showing "), F.col("shown").cast("string"), F.lit(" of "), F.col("donors").cast("string"), kind, noun, F.lit(" · "), format_money("shown_total"))
+
+
+def markers(officials: DataFrame, summary: DataFrame) -> DataFrame:
+    """What a map shows of each official; without readable funding the sums are null, not zero."""
+    number = F.regexp_extract("office", r"(\d+)", 1)
+    place = F.when(F.col("office").rlike("(?i)mayor"), "Mayor").when(number != "", F.concat(F.lit("District "), number)).otherwise(F.col("office"))
+    rows = officials.join(summary, "official_id", "left")
+    return rows.select("official_id", place.alias("place"), F.coalesce("name", place).alias("title"), "total", "donors", "top_donor")
+
+
 def funding_summary(donors: DataFrame) -> DataFrame:
     """Sum and number of donors, and the first of the largest."""
     return donors.groupBy("official_id").agg(

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civictally.functions.values import parse_amount, parse_date
@@ -47,7 +47,7 @@ class Config:
         return self.root / "data/sources/registry.json"
 
 
-def _dated(d) -> F.Column:
+def _dated(d: str) -> Column:
     return F.date_format(d, "yyyy-MM-dd")
 
 

@@ -403,3 +403,12 @@ def question_context(spark, d):
     """P35."""
     told = R.prompt(F.col("name"), F.col("office"), F.col("party_affiliation"), "Riverside")
     return table(spark, d, "officials").select("official_id", F.regexp_replace(told, r"\. Use public.*", "").alias("told"))
+
+
+@query(
+    "refresh_due",
+    """SELECT event_id, isodow(l) = 1 AND day(l) <= 7 AS due FROM (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago' AS l FROM events)""",
+)
+def refresh_due(spark, d):
+    """T-8."""
+    return table(spark, d, "events").select("event_id", V.refresh_due(F.col("ts").cast("timestamp"), "America/Chicago").alias("due"))

@@ -144,10 +144,23 @@ def p5_found(spark, d):
     return _records(spark, d).where("reason is not null").select("source.line_id", "reason")
 
 
-@query("p5_loaded")
+_DATE = r"""CASE WHEN regexp_full_match({0}, '\d{{1,2}}/\d{{1,2}}/\d{{4}}') THEN try_strptime({0}, '%m/%d/%Y')::DATE
+    WHEN regexp_full_match({0}, '\d{{4}}-\d{{2}}-\d{{2}}(T00:00:00(\.000)?)?') THEN try_strptime(left({0}, 10), '%Y-%m-%d')::DATE END"""
+_LOADED = {0: _DATE, 6: _DATE, 7: _DATE, 10: _DATE, 8: "regexp_replace({0}, '[$,]', '', 'g')::DOUBLE"}
+
+
+@query(
+    "p5_loaded",
+    _RECORDS_SQL
+    + "SELECT line_id, "
+    + ", ".join((_LOADED[i].format(_TRIMMED.format(i + 1)) if i in _LOADED else f"f[{i + 1}]") + f" AS {c}" for i, c in enumerate(EXPORT_COLUMNS))
+    + " FROM t JOIN r USING (line_id) WHERE reason IS NULL",
+)
 def p5_loaded(spark, d):
-    """The valid records as typed rows."""
-    return _records(spark, d).where("reason is null").select("source.line_id", *[f"record.{c}" for c in EXPORT_COLUMNS])
+    """The valid records as typed rows, amounts as doubles."""
+    amount = F.col("record.contribution_amount").cast("double").alias("contribution_amount")
+    columns = [amount if c == "contribution_amount" else F.col(f"record.{c}") for c in EXPORT_COLUMNS]
+    return _records(spark, d).where("reason is null").select("source.line_id", *columns)
 
 
 @query("p5_report", _RECORDS_SQL + "SELECT file_name, coalesce(reason, 'valid') AS outcome, count(*) AS records FROM r GROUP BY 1, 2")

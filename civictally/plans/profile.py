@@ -140,6 +140,29 @@ def filtered_summary(spark, d):
     return S.filtered_summary(top(spark, d), "pac").withColumn("shown_total", F.col("shown_total").cast("double"))
 
 
+@query(
+    "filtered_summary_text",
+    TOP
+    + """SELECT official_id, 'Showing ' || count(*) FILTER (WHERE donor_type = 'pac') || ' of ' || count(*) || ' PAC donor' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ' · '
+        || (CASE WHEN round(coalesce(sum(total) FILTER (WHERE donor_type = 'pac'), 0), 0) < 0 THEN '-' ELSE '' END) || '$'
+        || format('{:,}', abs(round(coalesce(sum(total) FILTER (WHERE donor_type = 'pac'), 0), 0))::BIGINT) AS said FROM top GROUP BY 1""",
+)
+def filtered_summary_text(spark, d):
+    return S.filtered_summary(top(spark, d), "pac").select("official_id", S.summary_text(F.lit("PAC")).alias("said"))
+
+
+@query(
+    "map_markers",
+    TOP
+    + r"""SELECT o.official_id, CASE WHEN office ILIKE '%mayor%' THEN 'Mayor' WHEN regexp_extract(office, '(\d+)', 1) <> '' THEN 'District ' || regexp_extract(office, '(\d+)', 1) ELSE office END AS place,
+        o.name AS title, t.total, t.donors, t.top_donor FROM officials o
+        LEFT JOIN (SELECT official_id, sum(total)::DOUBLE AS total, count(*) AS donors, min_by(donor, donor_rank) AS top_donor FROM top GROUP BY 1) t USING (official_id)""",
+)
+def map_markers(spark, d):
+    summary = S.funding_summary(top(spark, d)).withColumn("total", F.col("total").cast("double"))
+    return S.markers(table(spark, d, "officials"), summary)
+
+
 @query(
     "funding_summary_topdonor",
     TOP + "SELECT official_id, sum(total)::DOUBLE AS total, count(*) AS donors, min_by(donor, donor_rank) AS top_donor FROM top GROUP BY 1",
