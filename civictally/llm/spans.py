@@ -13,7 +13,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +27,9 @@ from civictally.session import cut, remove_path, shared_dir
 DEPTH = 2
 #: Cells of one block of a sketch row; a block is the unit that is merged.
 BLOCK = 1 << 16
-#: Most cells of a row (256 MB as bits). A larger corpus fills the sketch more, so that
+#: Most cells of a row (128 MB as bits). A larger corpus fills the sketch more, so that
 #: more windows reach the exact grouping; none is lost by it.
-MAX_CELLS = 1 << 31
+MAX_CELLS = 1 << 30
 #: Words hashed at once in a task.
 CHUNK_WORDS = 2_000_000
 _CHARS_A_WORD = 6
@@ -104,10 +105,31 @@ def _sketch(texts: DataFrame, width: int, cells: int, folder: str) -> None:
     parts.groupBy("row", "block").applyInPandas(merge, "row int, block int, bits binary").write.parquet(folder)
 
 
+def _opened(folder: str):
+    """File system and path of a folder, for the Arrow library."""
+    uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", folder))
+    return pafs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+
+
+def _reachable(spark: SparkSession, folder: str) -> str:
+    """The folder as the workers find it: itself, or where Arrow does not know its file
+    system, a copy that Spark fetches to each executor."""
+    try:
+        _opened(folder)
+        return folder
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        spark.sparkContext.addFile(folder, recursive=True)
+        return f"{_FETCHED}{folder.rsplit('/', 1)[1]}"
+
+
+_FETCHED = "fetched:"
+
+
 @lru_cache(maxsize=1)
 def _read_sketch(folder: str, cells: int) -> list[np.ndarray]:
-    uri = re.sub(r"^file:/+", "file:///", folder)
-    fs, path = pafs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+    if folder.startswith(_FETCHED):
+        folder = SparkFiles.get(folder[len(_FETCHED) :])
+    fs, path = _opened(folder)
     rows = [np.zeros(cells // 8, np.uint8) for _ in range(DEPTH)]
     for b in ds.dataset(path, filesystem=fs, format="parquet").to_batches():
         for r, block, bits in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -183,7 +205,7 @@ def shared_spans(
     cells = min(max_cells, max(BLOCK, 1 << (2 * chars // _CHARS_A_WORD).bit_length()))
     folder = f"{shared_dir(spark)}/sketch-{uuid.uuid4().hex}"
     _sketch(texts, width, cells, folder)
-    windows = cut(_maybe_repeated(texts, width, cells, folder))
+    windows = cut(_maybe_repeated(texts, width, cells, _reachable(spark, folder)))
     remove_path(spark, folder)
     repeated = cut(
         windows.groupBy("h1", "h2")

@@ -88,6 +88,16 @@ def test_spans(spark, monkeypatch, max_rows, max_cells, chunk):
     assert shared_spans(df.where("false"), "doc_id", "text", 12).count() == 0
 
 
+def test_sketch_fetched_where_arrow_cannot_open_it(spark, monkeypatch):
+    def unknown(folder):
+        raise OSError("unknown file system")
+
+    docs = [(i, " ".join(WORDS[:40])) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    monkeypatch.setattr(spans, "_opened", unknown)
+    assert {r.doc_id: r.shared_words for r in shared_spans(df, "doc_id", "text", 12).collect()} == {0: 40, 1: 40, 2: 40}
+
+
 def test_sketch_never_undercounts():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, spans.BLOCK, 3000).astype(np.uint64) for _ in range(4)]
