@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def squarify(areas: list[float], width: float, height: float) -> list[tuple[float, float, float, float]]:
@@ -52,15 +55,16 @@ def treemap(donors: DataFrame, width: float = 800.0, height: float = 440.0) -> D
     """L2, L3: tiles of the ranked donors with a positive total: ``official_id``, ``donor_rank``,
     x, y, w, h and whether the tile is large enough for a label. Ranked donors are a bounded number an official."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "donor_rank"], ascending=[False, True], kind="stable")
-        scale = width * height / pdf["size"].sum()
-        tiles = squarify((pdf["size"] * scale).tolist(), width, height)
-        out = pdf[["official_id", "donor_rank"]].iloc[: len(tiles)].reset_index(drop=True)
-        out[["x", "y", "w", "h"]] = pd.DataFrame(tiles)
-        out["labelled"] = (out["w"] > 46) & (out["h"] > 26)
-        return out
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for key, donors in zip(pdf["official_id"], pdf["donors"]):
+                sizes = sorted(((d["size"], d["donor_rank"]) for d in donors), key=lambda d: (-d[0], d[1]))
+                scale = width * height / sum(s for s, _ in sizes)
+                tiles = squarify([s * scale for s, _ in sizes], width, height)
+                out += [(key, rank, *t, t[2] > 46 and t[3] > 26) for (_, rank), t in zip(sizes, tiles)]
+            yield pd.DataFrame(out, columns=["official_id", "donor_rank", "x", "y", "w", "h", "labelled"])
 
     rows = donors.where("total > 0").selectExpr("official_id", "donor_rank", "greatest(cast(total as double), 0.01D) as size")
-    schema = "official_id string, donor_rank int, x double, y double, w double, h double, labelled boolean"
-    return rows.groupBy("official_id").applyInPandas(run, schema)
+    lists = rows.groupBy("official_id").agg(F.collect_list(F.struct("size", "donor_rank")).alias("donors"))
+    return lists.mapInPandas(run, "official_id string, donor_rank int, x double, y double, w double, h double, labelled boolean")
