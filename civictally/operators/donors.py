@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from civictally.functions.text import blank_to_null, clean_field, strip
 from civictally.functions.values import MONEY, donor_type, latest_year
-from civictally.operators.joins import dimension_join
+from civictally.operators.joins import dimension_join, numbered
 
 # Contribution types that name a donor's gift.
 DONOR_TYPES = ("monetary contributions (itemized)", "non-monetary contributions (itemized)")
@@ -82,8 +82,7 @@ def donor_rollup(gifts: DataFrame, order: str, n: int | None = 30) -> DataFrame:
 def donor_contributions(gifts: DataFrame, donors: DataFrame, order: str) -> DataFrame:
     """O1: gifts of the kept donors with their place by date (undated first, then as given)."""
     kept = gifts.join(donors.select("official_id", "donor", "donor_rank"), ["official_id", "donor"])
-    place = W.partitionBy("official_id", "donor").orderBy(F.col("contribution_date").asc_nulls_first(), F.col(order).asc())
-    return kept.withColumn("place", F.row_number().over(place))
+    return numbered(kept, ["official_id", "donor"], [F.col("contribution_date").asc_nulls_first(), F.col(order).asc()], "place")
 
 
 def nest_donors(donors: DataFrame, contributions: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Joins whose broadcast side is measured first and whose hot keys are split."""
+"""Joins whose broadcast side is measured first, and what splits hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civictally.session import cut
+
 #: Rows and bytes up to which a table is shipped to every executor.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -65,3 +68,42 @@ def lookup_join(
     head = F.broadcast(lookup.where(hot))
     rest = facts.join(head.select(*keys), keys, "left_anti")
     return facts.join(head, keys).unionByName(rest.join(lookup.where(~hot), keys))
+
+
+#: Rows that one task takes in any case: no key with fewer is split.
+HOT_ROWS = 100_000
+#: Items that the sketch of frequent keys tracks: its counts err by 0.02 % of the rows at most.
+TRACKED = 10_000
+
+
+def hot_keys(df: DataFrame, key: Column, share: float = HOT_SHARE) -> list:
+    """Keys that hold more than ``share`` of the rows and HOT_ROWS, at most 1 / share of them. One scan of the
+    key's columns with a sketch of fixed size; a key close to the share may or may not be named."""
+    top = F.expr(f"approx_top_k(k, {round(1 / share)}, {TRACKED})").alias("top")
+    found, rows = df.select(key.alias("k")).agg(top, F.count("k")).first()
+    return [x["item"] for x in found or [] if x["item"] is not None and x["count"] > max(rows * share, HOT_ROWS)]
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows with their place, from 1, within the rows of the same keys.
+
+    A window does it, but for hot keys: their rows are spread over tasks by ranges of the order, numbered
+    there, and moved on by the rows in the ranges before. Order by a unique column last, else
+    equal rows take their places in any order. Null keys are keys.
+    """
+    place = lambda *more: F.row_number().over(W.partitionBy(*keys, *more).orderBy(*order))
+    key = F.xxhash64(*keys)
+    hot = hot_keys(df, key)
+    if not hot:
+        return df.withColumn(name, place())
+    ranges = cut(df.where(key.isin(hot)).repartitionByRange(*keys, *order).withColumn("range__", F.spark_partition_id()))
+    before = F.sum("rows__").over(W.partitionBy(*keys).orderBy("range__").rowsBetween(W.unboundedPreceding, -1))
+    counts = ranges.groupBy(*keys, "range__").agg(F.count("*").alias("rows__")).withColumn("before__", F.coalesce(before, F.lit(0)))
+    # one row for each hot key and task
+    own = counts.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("range__").alias("at__"), "before__")
+    same = F.col("range__") == F.col("at__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    split = ranges.withColumn(name, place("range__")).join(F.broadcast(own), same)
+    split = split.withColumn(name, (F.col(name) + F.col("before__")).cast("int")).select(*df.columns, name)
+    return df.where(~key.isin(hot)).withColumn(name, place()).unionByName(split)

@@ -9,10 +9,10 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civictally.functions.values import is_valid_amount, is_valid_date, is_valid_record_id, is_valid_url
+from civictally.operators.joins import numbered
 
 PROBLEM = "official_id string, builder string, rule string, detail string"
 
@@ -54,8 +54,7 @@ def duplicate_keys(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def duplicate_occurrences(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Every occurrence of a key after its first, numbered from 2."""
-    nth = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-    return df.withColumn("occurrence", nth).where("occurrence > 1")
+    return numbered(df, keys, [F.col(order).asc()], "occurrence").where("occurrence > 1")
 
 
 def cross_reference(officials: DataFrame, registry: DataFrame, key: str = "official_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from civictally.operators.joins import dimension_join
+from civictally.operators.joins import dimension_join, hot_keys
 
 PRESENCE = -1
 
@@ -31,7 +31,8 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, fields: list[str])
     are not read.
 
     One shuffle drops repeated rows (combined on the map side first), one places
-    the distinct rows by key; all later groupings reuse that placement.
+    the distinct rows by key; all later groupings reuse that placement. Keys that hold
+    more than a thousandth of all rows are grouped by cell instead.
     """
     rows = df.select(
         F.col(snapshot).alias("s"), F.col(key).alias("k"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)]
@@ -42,8 +43,18 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, fields: list[str])
     following = numbers.select(
         "s", F.when(F.lag("s").over(order).isNotNull(), F.col("s")).alias("ends"), F.lead("s").over(order).alias("begins")
     )
-    placed = dimension_join(rows.distinct(), following, "s", "inner").repartition("k")
-    cells = placed.select(
+    paired = dimension_join(rows.distinct(), following, "s", "inner")
+    # a record with a large share of all rows is not brought to one task: its cells are spread by value
+    hot = hot_keys(rows, F.col("k"))
+    if not hot:
+        return _differences(paired.repartition("k"), snapshot, key, fields)
+    others = _differences(paired.where(~F.col("k").isin(hot)).repartition("k"), snapshot, key, fields)
+    return others.unionByName(_differences(paired.where(F.col("k").isin(hot)), snapshot, key, fields))
+
+
+def _differences(paired: DataFrame, snapshot: str, key: str, fields: list[str]) -> DataFrame:
+    """Cells that do not cancel, by record and pair of deliveries."""
+    cells = paired.select(
         "k",
         F.explode(
             F.array(

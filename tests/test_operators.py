@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from civictally.operators import quality as Q
 from civictally.operators import serving as S
-from civictally.operators.joins import is_small, lookup_join
+from civictally.operators.joins import hot_keys, is_small, lookup_join, numbered
 from civictally.operators.layout import squarify
 from civictally.operators.limits import cooldown, rate_limit, setting
 from civictally.operators.publish import exit_status, publish_documents, publish_table, report_markdown, write_json
@@ -28,6 +28,19 @@ def test_lookup_join_with_hot_key(spark, max_rows):
     assert got.count() == 3000 and got.where("k = 0 and n = 1000").count() == 1000
 
 
+def test_places_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr("civictally.operators.joins.HOT_ROWS", 0)
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), "id")).alias("k"), (-F.col("id")).alias("o"), F.lit(1).alias("n"))
+    assert len(hot_keys(df, F.xxhash64("k"))) == 2
+    got = {r.k: [] for r in df.select("k").distinct().collect()}
+    for r in numbered(df, ["k"], [F.col("o").asc()], "place").collect():
+        got[r.k].append((r.place, r.o))
+    assert sum(map(len, got.values())) == 4000
+    for rows in got.values():
+        rows.sort()
+        assert [p for p, _ in rows] == list(range(1, len(rows) + 1)) and [o for _, o in rows] == sorted(o for _, o in rows)
+
+
 def test_small_tables_are_measured(spark):
     narrow, wide = spark.range(50), spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit("y")).alias("a"))
     assert is_small(narrow, 50) and not is_small(narrow, 49)

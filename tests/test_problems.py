@@ -45,6 +45,14 @@ def test_snapshot_with_two_versions_of_a_record(spark):
     assert changes(spark, rows) == {(2, 1): ("changed", ("contribution_amount",))}
 
 
+def test_snapshots_with_a_hot_record(spark, monkeypatch):
+    monkeypatch.setattr("civictally.operators.joins.HOT_ROWS", 0)
+    from decimal import Decimal as N
+
+    rows = [(s, 1, N(i), "a", "") for s in (1, 2) for i in range(s, 300 + s)] + [(s, i, N(i), "a", "") for s in (1, 2) for i in range(2, 300)]
+    assert changes(spark, rows) == {(2, 1): ("changed", ("contribution_amount",))}
+
+
 T = dt.datetime
 
 
