@@ -79,10 +79,11 @@ def donor_rollup(gifts: DataFrame, order: str, n: int | None = 30) -> DataFrame:
     return ranked if n is None else ranked.where(F.col("donor_rank") <= n)
 
 
-def donor_contributions(gifts: DataFrame, donors: DataFrame, order: str) -> DataFrame:
-    """O1: gifts of the kept donors with their place by date (undated first, then as given)."""
+def donor_contributions(gifts: DataFrame, donors: DataFrame, order: str, source: DataFrame | None = None) -> DataFrame:
+    """O1: gifts of the kept donors with their place by date (undated first, then as given).
+    ``source``: the contributions that the gifts come from, in which hot donors are looked for."""
     kept = gifts.join(donors.select("official_id", "donor", "donor_rank"), ["official_id", "donor"])
-    return numbered(kept, ["official_id", "donor"], [F.col("contribution_date").asc_nulls_first(), F.col(order).asc()], "place")
+    return numbered(kept, ["official_id", "donor"], [F.col("contribution_date").asc_nulls_first(), F.col(order).asc()], "place", blank_to_null("contributor"), source)
 
 
 def nest_donors(donors: DataFrame, contributions: DataFrame) -> DataFrame:

@@ -84,16 +84,18 @@ def hot_keys(df: DataFrame, key: Column, share: float = HOT_SHARE) -> list:
     return [x["item"] for x in found or [] if x["item"] is not None and x["count"] > max(rows * share, HOT_ROWS)]
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """Rows with their place, from 1, within the rows of the same keys.
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, suspect: Column | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Rows with their place, from 1, within the rows of the same keys. Hot keys are told by
+    ``suspect``, an expression of the keys that rows of one key share (default: all keys), and looked
+    for in ``of``, a table that is cheaper to read than ``df`` (default: itself).
 
     A window does it, but for hot keys: their rows are spread over tasks by ranges of the order, numbered
     there, and moved on by the rows in the ranges before. Order by a unique column last, else
     equal rows take their places in any order. Null keys are keys.
     """
     place = lambda *more: F.row_number().over(W.partitionBy(*keys, *more).orderBy(*order))
-    key = F.xxhash64(*keys)
-    hot = hot_keys(df, key)
+    key = F.xxhash64(*keys) if suspect is None else F.coalesce(F.xxhash64(suspect), F.lit(0))
+    hot = hot_keys(df if of is None else of, key)
     if not hot:
         return df.withColumn(name, place())
     ranges = cut(df.where(key.isin(hot)).repartitionByRange(*keys, *order).withColumn("range__", F.spark_partition_id()))

@@ -61,7 +61,7 @@ def _funding(spark: SparkSession, cfg: Config, today: str, officials: DataFrame,
     matched = cut(D.attach_officials(rows, lookup))
     gifts = D.donor_gifts(matched)
     top = cut(D.donor_rollup(gifts, "seq", cfg.top))
-    kept = D.attach_filings(D.donor_contributions(gifts, top, "seq"), D.filing_links(statements, "seq"))
+    kept = D.attach_filings(D.donor_contributions(gifts, top, "seq", rows), D.filing_links(statements, "seq"))
     found = Q.problems(kept, "funding", Q.gift_rules(cfg.allowed_hosts)).select("official_id", "builder", "detail").distinct()
     made = provenance(
         F.lit(cfg.source_name), F.col("source_url"), F.lit(today), cfg.methodology, (_dated("period_beg_date"), _dated("period_end_date")), record_id=F.nullif(F.trim("committee_id"), F.lit(""))

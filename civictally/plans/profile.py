@@ -95,7 +95,7 @@ def donor_contributions(spark, d):
 
 
 def kept_gifts(spark, d):
-    return D.attach_filings(D.donor_contributions(gifts(spark, d), top(spark, d), "row_id"), links(spark, d))
+    return D.attach_filings(D.donor_contributions(gifts(spark, d), top(spark, d), "row_id", table(spark, d, "contributions")), links(spark, d))
 
 
 @query(
