@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civictally.session import ship
+
 
 def squarify(areas: list[float], width: float, height: float) -> list[tuple[float, float, float, float]]:
     """Rectangles x, y, w, h for areas in falling order that sum to ``width * height``.
@@ -65,6 +67,7 @@ def treemap(donors: DataFrame, width: float = 800.0, height: float = 440.0) -> D
                 out += [(key, rank, *t, t[2] > 46 and t[3] > 26) for (_, rank), t in zip(sizes, tiles)]
             yield pd.DataFrame(out, columns=["official_id", "donor_rank", "x", "y", "w", "h", "labelled"])
 
+    ship(donors.sparkSession)
     rows = donors.where("total > 0").selectExpr("official_id", "donor_rank", "greatest(cast(total as double), 0.01D) as size")
     lists = rows.groupBy("official_id").agg(F.collect_list(F.struct("size", "donor_rank")).alias("donors"))
     return lists.mapInPandas(run, "official_id string, donor_rank int, x double, y double, w double, h double, labelled boolean")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civictally.session import ship
+
 # The limiter's defaults, and the client's pause in seconds.
 MAX_REQUESTS, WINDOW_SECONDS, COOLDOWN_SECONDS = 5, 600, 8
 
@@ -45,6 +47,7 @@ def fixed_window(times: np.ndarray, start: int | None, count: int, window: int,
 def _by_key(df: DataFrame, key: Column, ts: str, order: str, fold, result: T.StructField) -> DataFrame:
     """Rows in time order within each key, folded in one pass with a state of one key at a
     time. Nothing is collected: a key's rows stream through the task that has them."""
+    ship(df.sparkSession)
     rows = df.select(key.cast("string").alias("key"), F.col(order).alias("order"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
     rows = rows.where("us is not null").repartition("key").sortWithinPartitions("key", "us", "order")
     schema = T.StructType([rows.schema["key"], rows.schema["order"], result])

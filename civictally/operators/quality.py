@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from civictally.functions.values import is_valid_amount, is_valid_date, is_valid_record_id, is_valid_url
 from civictally.operators.joins import numbered
+from civictally.session import ship
 
 PROBLEM = "official_id string, builder string, rule string, detail string"
 
@@ -169,6 +170,7 @@ def load_schema(path: str | Path) -> dict:
 def schema_problems(df: DataFrame, key: str, document: str, schema: dict) -> DataFrame:
     """V1 for a column of JSON texts: ``key`` and ``problem``, a row for each. Null documents give
     a problem, as does a text that is no JSON."""
+    ship(df.sparkSession)
     given = df.select(F.col(key), F.col(document).alias("document"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from civictally.functions.text import question_ok, strip, strip_fences
 from civictally.functions.values import source_host
+from civictally.session import ship
 
 CITATIONS = 8
 
@@ -71,6 +72,7 @@ def outcome(content: Column, links: Column, decline: Column) -> Column:
 
 def call(requests: DataFrame, question: str, system: str, ask: Callable[[str, str], tuple[str, list[str]]]) -> DataFrame:
     """The rows with ``content`` and ``links`` of an injected ``ask(system, question)``; an error gives nulls."""
+    ship(requests.sparkSession)
     reply = [T.StructField("content", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civictally.functions.text import strip
+from civictally.session import ship
 
 QUOTE, COMMA, RETURN = 34, 44, 13
 
@@ -97,6 +98,7 @@ def _index_batch(lines: pa.Array) -> pa.Array:
 
 def index_lines(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
     """``source`` (a struct of the kept columns), ``well_quoted`` and ``fields`` of each record."""
+    ship(df.sparkSession)
     given = df.select(F.struct(*keep).alias("source"), F.col(line).cast("string").alias("line"))
     schema = T.StructType(
         [

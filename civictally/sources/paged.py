@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from civictally.session import ship
+
 # Defaults of the service's client.
 PAGE, TIMEOUT, TRIES, LONGEST_WAIT = 5000, 30, 3, 10
 
@@ -88,6 +90,7 @@ def read_paged(spark: SparkSession, url: str, schema: StructType, landed: str |
     """
     if landed_only:
         return spark.read.schema(schema).parquet(landed)
+    ship(spark)
     spark.dataSource.register(PagedSource)
     live = spark.read.format("paged_json").schema(schema).options(url=url, **options).load()
     if not landed:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from civictally.operators.limits import MAX_REQUESTS, WINDOW_SECONDS, fixed_window
+from civictally.session import ship
 
 
 def rate_limit_stream(requests: DataFrame, key: str, ts: str, request_id: str, most: int = MAX_REQUESTS, window_seconds: float = WINDOW_SECONDS, late: str = "1 minute") -> DataFrame:
@@ -21,6 +22,7 @@ def rate_limit_stream(requests: DataFrame, key: str, ts: str, request_id: str, m
     later than ``late`` may have lost their window and begin a new one; within a micro-batch
     they are put in time order. Null keys are one key; rows without a time are left out.
     """
+    ship(requests.sparkSession)
     span = int(window_seconds * 1_000_000)
 
     def fold(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
