@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from civictally.llm.grams import hash_words, letter_words, whole_windows, window_hashes
-from civictally.session import cut
+from civictally.session import cut, ship
 
 #: Words of a seed.
 SEED = 5
@@ -178,6 +178,7 @@ def find_leaks(
     blocks of at most BLOCK_WORDS words (one block for usual test sets; one item
     longer than that is a block of its own).
     """
+    ship(documents.sparkSession)
     texts = documents.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("text")).where("text is not null")
     rows = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
     # the stated query set, against all documents, in blocks

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civictally.operators.joins import BROADCAST_ROWS, dimension_join
-from civictally.session import shared_dir
+from civictally.session import shared_dir, ship
 
 #: Where the public tokenizer's ranks lie on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -83,6 +83,7 @@ def pack_blocks(df: DataFrame, source: str, text: str, path: str = TOKENIZER, le
     the shared folder once and read from there.
     """
     spark = df.sparkSession
+    ship(spark)
     folder = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
     rows = df.select(F.col(source).alias("source"), F.col(text).alias("text")).where("source is not null and text <> ''")
     rows.mapInArrow(partial(_pack, path=path, length=length), _PACKED).write.option("compression", "zstd").parquet(folder)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from civictally.llm.grams import hash_words, space_words, whole_windows, window_hashes
 from civictally.operators.joins import BROADCAST_ROWS, lookup_join
-from civictally.session import cut, remove_path, shared_dir
+from civictally.session import cut, remove_path, shared_dir, ship
 
 #: Rows of the count-min sketch, each with its own hash function.
 DEPTH = 2
@@ -200,6 +200,7 @@ def shared_spans(
     joined by broadcast when positions are looked up.
     """
     spark = df.sparkSession
+    ship(spark)
     texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     cells = min(max_cells, max(BLOCK, 1 << (2 * chars // _CHARS_A_WORD).bit_length()))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from civictally.llm.components import connected_components
 from civictally.llm.grams import hash_words, mix
 from civictally.llm.names import Name, block_keys, compare, initial_keys, normal_form
-from civictally.session import cut, shared_dir
+from civictally.session import cut, shared_dir, ship
 
 #: Least comparison score of a link.
 ACCEPT = 0.9
@@ -47,6 +47,7 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
     forms that agree in sound in all words but one; they are joined, not collected, and the
     components run over accepted links only.
     """
+    ship(fields[0][1].sparkSession)
     texts = None
     for label, df, group, key, name in fields:
         grp = F.regexp_replace(F.col(group).cast("string"), r"(?U)^\s+|\s+\z", "")
