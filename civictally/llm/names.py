@@ -272,3 +272,37 @@ def _with_initials(short: Name, whole: Name, common: frozenset) -> float:
                 score = _word_score(short.full[0], last, common)
                 best = max(best, score if score >= 0.9 else 0.0)
     return best
+
+
+def companions(form: str) -> list[tuple[str, str]]:
+    """Each full word of a form with the sound of the others."""
+    words = parsed(form).full
+    if len(words) < 2:
+        return []
+    codes = [phonetic(w) for w in words]
+    return [(w, " ".join(sorted(codes[:i] + codes[i + 1 :]))) for i, w in enumerate(words)]
+
+
+def slips(left: str, right: str) -> list[tuple[str, str]]:
+    """The words of two accepted forms that count as spellings of one word by likeness
+    alone, not by a nickname or an abbreviation; each pair in order."""
+    a, b = parsed(left), parsed(right)
+    if a.full == b.full:
+        return []
+    mine, rest = list(a.full), list(b.full)
+    for w in a.full:
+        if w in rest:
+            mine.remove(w)
+            rest.remove(w)
+    if len(mine) > len(rest):
+        mine, rest = rest, mine
+    out = []
+    for w in mine:
+        best = max(rest, key=lambda x: _word_score(w, x, frozenset()))
+        # a word that nothing is like stands against an initial or an abbreviation
+        if _word_score(w, best, frozenset()) < 0.9:
+            continue
+        rest.remove(best)
+        if not set(formal(w)) & set(formal(best)) and not (len(a.full) > 2 and _short_for(w, best)):
+            out.append((min(w, best), max(w, best)))
+    return out

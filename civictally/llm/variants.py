@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from civictally.llm.components import connected_components
 from civictally.llm.grams import hash_words, mix
-from civictally.llm.names import Name, block_keys, compare, initial_keys, normal_form
-from civictally.session import cut, shared_dir, ship
+from civictally.llm.names import Name, block_keys, companions, compare, initial_keys, normal_form, slips
+from civictally.session import shared_dir, ship
 
 #: Least comparison score of a link.
 ACCEPT = 0.9
-#: A word is common from this share of all forms (and COMMON_FORMS of them) on; with at most
-#: ten words a form on average there are no more than 10 / COMMON_SHARE such words.
-COMMON_SHARE = 0.0005
-COMMON_FORMS = 8
+#: Words that both stand beside so many different others, the rarer beside a share of
+#: OWN_RATIO of the other's at least, are too usual for a slip of one another.
+OWN_COMPANIONS = 20
+OWN_RATIO = 0.1
 
 
 def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: float = ACCEPT) -> DataFrame:
@@ -34,7 +34,8 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
     Every distinct text is reduced to a normal form; texts of one form are one
     donor. Forms meet in blocks by the phonetic codes of their sorted words, or of all
     words but one with an end of the last; pairs are compared word by word by
-    Jaro-Winkler, single edits and a nickname table. A form with initials instead of
+    Jaro-Winkler, single edits and a nickname table. Two alike words that the data shows to be
+    names of their own (see ``_different``) link nothing. A form with initials instead of
     a given name is linked to the best full form only, so that two relatives are not
     joined by it. Accepted pairs are clustered by connected components.
 
@@ -72,7 +73,6 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
     ask = blocks.select(F.explode("ask").alias("key"), F.col("node").alias("a"))
     found = blocks.select(F.explode("found").alias("key"), F.col("node").alias("b"))
     asked = ask.join(found, "key").where("a <> b").select("a", "b").distinct()
-    common = _common_words(blocks)
     pairs = pairs.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
     named = blocks.select(F.col("node").alias("a"), F.col("form").alias("form_a"))
     others = blocks.select(F.col("node").alias("b"), F.col("form").alias("form_b"), F.col("texts").alias("weight"))
@@ -80,11 +80,16 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["score"] = [compare(x, y, common) for x, y in zip(pdf["form_a"], pdf["form_b"])]
+            pdf["score"] = [compare(x, y) for x, y in zip(pdf["form_a"], pdf["form_b"])]
             pdf["whole"] = pdf["form_b"].str.contains(r"\w\w+ (?:.* )?\w\w+", regex=True)
-            yield pdf.loc[pdf["score"] >= accept, ["a", "b", "asked", "whole", "weight", "score"]]
-
-    scored = cut(pairs.mapInPandas(score, "a bigint, b bigint, asked boolean, whole boolean, weight bigint, score double"))
+            pdf = pdf[pdf["score"] >= accept].copy()
+            pdf["slips"] = [[" ".join(p) for p in slips(x, y)] for x, y in zip(pdf["form_a"], pdf["form_b"])]
+            yield pdf[["a", "b", "asked", "whole", "weight", "score", "slips"]]
+
+    scored = _stored(pairs.mapInPandas(score, "a bigint, b bigint, asked boolean, whole boolean, weight bigint, score double, slips array<string>"))
+    read = scored.select("a", "b", F.explode("slips").alias("slip"))
+    different = _different(blocks.select("form").distinct(), read.select("slip").distinct())
+    scored = scored.join(read.join(different, "slip").select("a", "b").distinct(), ["a", "b"], "left_anti")
     best = scored.where("asked").groupBy("a").agg(F.max_by("b", F.struct("whole", "score", "weight", "b")).alias("b"))
     links = scored.where("not asked").select("a", "b").unionByName(best)
     members = connected_components(links)
@@ -118,13 +123,31 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _common_words(forms: DataFrame) -> frozenset:
-    """Words in so many forms that they are names of their own, not slips of one another: a
-    bounded number, as only shares above COMMON_SHARE count."""
-    total = forms.count()
-    words = forms.select(F.explode(F.array_distinct(F.split("form", " "))).alias("word")).where("length(word) > 1")
-    counted = words.groupBy("word").count().where(F.col("count") >= max(COMMON_FORMS, total * COMMON_SHARE))
-    return frozenset(r.word for r in counted.select("word").collect())
+def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cells = list({c for f in b.column("form").to_pylist() for c in companions(f)})
+        yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], pa.string()) for i in (0, 1)], ["word", "beside"])
+
+
+def _different(forms: DataFrame, alike: DataFrame) -> DataFrame:
+    """The pairs of alike words (``slip``: both, with a space between) that are different names.
+
+    Counted are the distinct companions of a word, by sound, so neither the groups nor
+    the rows of a donor count. A slip stands beside what its right spellings (Mara: Maria and
+    Marta) stand beside; a name of its own mostly beside others. Where names meet nearly every
+    companion, two words with many of them are different unless one is rare beside the other."""
+    both = alike.select("slip", F.split("slip", " ").alias("w")).select("slip", F.explode("w").alias("word"))
+    cells = forms.mapInArrow(_celled, "word string, beside string").join(both.select("word").distinct(), "word", "left_semi")
+    cells = _stored(cells.distinct())
+    counts = both.join(cells.groupBy("word").agg(F.count("*").alias("n")), "word")
+    ranked = counts.groupBy("slip").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w")).where("size(w) = 2")
+    ranked = ranked.select("slip", F.expr("w[0].n as few"), F.expr("w[1].n as many"), F.expr("w[0].word as word"), F.expr("w[1].word as other"))
+    met = ranked.where("few > 2").select("word", "other").join(cells, "word")
+    shared = met.join(cells.select(F.col("word").alias("other"), "beside"), ["other", "beside"]).select("word", "beside").distinct()
+    shared = shared.groupBy("word").agg(F.count("*").alias("shared"))
+    usual = (F.col("few") >= OWN_COMPANIONS) & (F.col("few") >= F.col("many") * OWN_RATIO)
+    apart = (F.col("few") > 2) & (F.coalesce("shared", F.lit(0)) * 2 < F.col("few"))
+    return ranked.join(shared, "word", "left").where(usual | apart).select("slip")
 
 
 def variant_pairs(donors: DataFrame) -> DataFrame:

@@ -66,3 +66,25 @@ def test_components(spark):
     assert {n: got[n] for n in (1, 2, 3, 4, 5)} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
     assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(2000, 2050)} == {1000} and 9 not in got
     assert connected_components(df.where("false")).count() == 0
+
+
+GIVEN = "maria marta".split()
+LAST = "belkov dunfa gormek hostil jurpan kelmot lindra morvet".split()
+
+
+def linked(spark, rows):
+    df = spark.createDataFrame(rows, "row_id bigint, grp string, contributor string")
+    found = variant_pairs(name_variants([("t", df, "grp", "row_id", "contributor")])).collect()
+    text = {r[0]: r[2] for r in rows}
+    return {tuple(sorted((text[r.id_a], text[r.id_b]))) for r in found}
+
+
+def test_one_donors_slip_in_most_groups(spark):
+    rows = [(2 * n + i, f"g{n}", t) for n in range(60) for i, t in enumerate(("Oscar Ridgosudand", "Oscar Ridgousudand"))]
+    rows += [(1000 + n, f"g{n}", f"{g} {s}") for n, (g, s) in enumerate((g, s) for g in GIVEN for s in LAST)]
+    assert linked(spark, rows) == {("Oscar Ridgosudand", "Oscar Ridgousudand")}
+
+
+def test_slip_of_two_names(spark):
+    rows = [(2 * n + i, f"g{n}", f"{t} {s}") for n, s in enumerate(LAST[:6]) for i, t in enumerate((GIVEN[n % 2], "Mara"))]
+    assert len(linked(spark, rows)) == 6
