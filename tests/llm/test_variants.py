@@ -85,6 +85,13 @@ def test_one_donors_slip_in_most_groups(spark):
     assert linked(spark, rows) == {("Oscar Ridgosudand", "Oscar Ridgousudand")}
 
 
+@pytest.mark.parametrize("spread", [1, 40])
+def test_names_of_their_own_at_every_size(spark, spread):
+    rows = [(n, f"h{n}", f"{g} {s}") for n, (g, s) in enumerate([("Maria", s) for s in LAST[:5]] + [("Marta", s) for s in LAST[4:]])]
+    rows += [(100 + i + 2 * n, f"g{n}", t) for n in range(spread) for i, t in enumerate(("Maria Belkov", "Marta Belkov"))]
+    assert not linked(spark, rows)
+
+
 def test_slip_of_two_names(spark):
     rows = [(2 * n + i, f"g{n}", f"{t} {s}") for n, s in enumerate(LAST[:6]) for i, t in enumerate((GIVEN[n % 2], "Mara"))]
     assert len(linked(spark, rows)) == 6
