@@ -159,13 +159,28 @@ def _ends(word: str) -> list[str]:
     return out
 
 
+#: An edit in the middle of a word so short can change both of its ends.
+SHORT = 4
+
+
+def _word_keys(word: str) -> list[str]:
+    """What a word shares with each of its slips: the sound, an end, or for short words
+    the word without a letter."""
+    out = [phonetic(word), *_ends(word)]
+    if len(word) <= SHORT:
+        out += ["-" + word[:i] + word[i + 1 :] for i in range(len(word))]
+    return out
+
+
 def block_keys(name: Name) -> set[str]:
     """Blocks in which the form meets its variants: the phonetic codes of its sorted
-    words, and all codes but one with an end of the word left out."""
+    words, and all codes but one with an end of the word left out, or without it where
+    that is short. A single word is known by itself; a person's with initials
+    meets by ``initial_keys``."""
     words = name.full
-    if len(words) < 2:
-        return {"1" + phonetic(words[0]) + "".join(name.marks)} if words and not name.initials else set()
     tail = "#" + " ".join(name.marks) if name.marks else ""
+    if len(words) < 2:
+        return {f"1{k}{tail}" for w in words for k in _word_keys(w)} if not (name.person and name.initials) else set()
     choices = [[w] for w in words]
     if name.person:
         choices = [list(formal(w)) for w in words]
@@ -178,6 +193,8 @@ def block_keys(name: Name) -> set[str]:
             for i, w in enumerate(chosen):
                 rest = " ".join(sorted(codes[:i] + codes[i + 1 :]))
                 keys.update(f"{rest} {e}{tail}" for e in _ends(w))
+                if len(words[i]) <= SHORT or len(w) <= SHORT:
+                    keys.add(f"{rest} -{tail}")
     return keys
 
 
@@ -187,10 +204,10 @@ def initial_keys(name: Name) -> tuple[set[str], set[str]]:
     if not name.person or not name.full:
         return set(), set()
     if len(name.full) == 1:
-        own = {phonetic(name.full[0]) + " " + i for i in name.initials}
+        own = {f"{k} {i}" for k in _word_keys(name.full[0]) for i in name.initials}
         return own, own
     a, b = name.full
-    return set(), {f"{phonetic(x)} {f[0]}" for x, y in ((a, b), (b, a)) for f in (y, *formal(y))}
+    return set(), {f"{k} {i}" for x, y in ((a, b), (b, a)) for i in {f[0] for f in (y, *formal(y))} for k in _word_keys(x)}
 
 
 def _word_score(a: str, b: str, common: frozenset) -> float:

@@ -95,3 +95,13 @@ def test_names_of_their_own_at_every_size(spark, spread):
 def test_slip_of_two_names(spark):
     rows = [(2 * n + i, f"g{n}", f"{t} {s}") for n, s in enumerate(LAST[:6]) for i, t in enumerate((GIVEN[n % 2], "Mara"))]
     assert len(linked(spark, rows)) == 6
+
+
+MEET = [
+    ("C W Recyclers 406", "C W Recyclrs 406"), ("Microsoft", "Mircosoft"), ("Olga Lokmedil", "Ogla Lokmedil"), ("Uma Lokmedil", "Uha Lokmedil"),
+    ("T. Lokmedil", "T. Lokmehil"), ("T. Lokmehil", "Tariq Lokmedil"), ("Acme", "Amce"),
+]
+
+
+def test_every_accepted_pair_meets(spark):
+    assert linked(spark, [(2 * n + i, f"g{n}", t) for n, p in enumerate(MEET) for i, t in enumerate(p)]) == {tuple(sorted(p)) for p in MEET}
