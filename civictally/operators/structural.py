@@ -122,9 +122,14 @@ ISO_DAY = r"^\d{4}-\d{2}-\d{2}(?:T00:00:00(?:\.000)?)?\z"
 
 
 def strict_amount(x):
-    """Decimal of a properly written amount, else null. More digits than the money type holds are unreadable."""
+    """Decimal of a properly written amount, else null; also null beyond the 36 digits before the point that a decimal holds."""
+    return plain_amount(x).try_cast("decimal(38,2)")
+
+
+def plain_amount(x):
+    """Text of a properly written amount without dollar sign and commas, else null."""
     s = strip(x)
-    return F.when(s.rlike(AMOUNT), F.regexp_replace(s, "[$,]", "").try_cast("decimal(18,2)"))
+    return F.when(s.rlike(AMOUNT), F.regexp_replace(s, "[$,]", ""))
 
 
 def strict_day(x):
@@ -147,9 +152,10 @@ def parse_records(df: DataFrame, line: str, key: str, keep: list[str] | None = N
     """Typed rows of CSV records, or the first reason why one cannot be read.
 
     Columns: ``source`` (struct of ``key`` and the kept columns), ``reason`` (null for a
-    valid row, else quoting, column_count, bad_amount, bad_date or bad_period) and
+    valid row, else quoting, column_count, bad_amount, bad_date or bad_period),
     ``record`` (struct of EXPORT_COLUMNS, null for a rejected row): dates as dates,
-    the amount as decimal, other columns as the exact texts. Period end and
+    the amount as decimal, other columns as the exact texts; and ``amount_text``, the amount of
+    a valid row that no decimal holds (null for all others). Period end and
     election date are null where unreadable, which rejects nothing.
 
     One trailing carriage return is ignored. An empty or null line has one empty
@@ -175,6 +181,7 @@ def parse_records(df: DataFrame, line: str, key: str, keep: list[str] | None = N
         "well_quoted",
         F.size("fields").alias("width"),
         amount_ok.alias("amount_ok"),
+        plain_amount(f["contribution_amount"]).alias("amount_text"),
         F.struct(*[typed.get(name, f[name]).alias(name) for name in EXPORT_COLUMNS]).alias("typed"),
     )
     reason = (
@@ -184,5 +191,7 @@ def parse_records(df: DataFrame, line: str, key: str, keep: list[str] | None = N
         .when(F.col("typed.contribution_date").isNull(), "bad_date")
         .when(F.col("typed.period_beg_date").isNull(), "bad_period")
     )
-    rows = rows.select("source", reason.alias("reason"), "typed")
-    return rows.select("source", "reason", F.when(F.col("reason").isNull(), F.col("typed")).alias("record"))
+    rows = rows.select("source", reason.alias("reason"), "typed", "amount_text")
+    valid = F.col("reason").isNull()
+    unheld = F.when(valid & F.col("typed.contribution_amount").isNull(), F.col("amount_text"))
+    return rows.select("source", "reason", F.when(valid, F.col("typed")).alias("record"), unheld.alias("amount_text"))

@@ -158,7 +158,8 @@ _LOADED = {0: _DATE, 6: _DATE, 7: _DATE, 10: _DATE, 8: "regexp_replace({0}, '[$,
 )
 def p5_loaded(spark, d):
     """The valid records as typed rows, amounts as doubles."""
-    amount = F.col("record.contribution_amount").cast("double").alias("contribution_amount")
+    held = F.col("record.contribution_amount").cast("double")
+    amount = F.coalesce(held, F.col("amount_text").cast("double")).alias("contribution_amount")
     columns = [amount if c == "contribution_amount" else F.col(f"record.{c}") for c in EXPORT_COLUMNS]
     return _records(spark, d).where("reason is null").select("source.line_id", *columns)
 

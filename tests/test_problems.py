@@ -172,6 +172,20 @@ def test_typed_checks(spark, at, value, reason):
     assert row.source.reason == "file" and row.source.fields == 7
 
 
+@pytest.mark.parametrize("digits", [16, 17, 36, 40])
+def test_long_amounts_keep_their_value(spark, tmp_path, digits):
+    from civictally.plans import core_queries
+
+    value = "1" + "2" * (digits - 1)
+    line = ",".join([*GOOD[:8], value + ".25", *GOOD[9:]])
+    df = spark.createDataFrame([(1, "file", 1, line)], "line_id bigint, file_name string, line_no int, raw_line string")
+    row = parse_records(df, "raw_line", "line_id").first()
+    got = row.amount_text if digits > 36 else str(row.record.contribution_amount)
+    assert got == value + ".25" and (row.amount_text is None) == (digits <= 36)
+    df.write.parquet(f"{tmp_path}/contribution_lines.parquet")
+    assert core_queries()["p5_loaded"](spark, str(tmp_path)).first().contribution_amount == float(value + ".25")
+
+
 def test_parse_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, ",".join(GOOD).replace("$1,234.50", "5") + "\r")], "line_id int, raw string")
     got = sorted((r.source.line_id, r.reason) for r in parse_records(df, "raw", "line_id").collect() if r.reason)
