@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from civictally.functions.values import parse_amount, parse_date
 from civictally.operators import donors as D
 from civictally.operators import quality as Q
-from civictally.operators.publish import gate, plain, write_json
+from civictally.operators.publish import gate, plain, report_markdown, write_json
 from civictally.operators.records import enrich_items, provenance
 from civictally.session import cut, local_session
 from civictally.sources import documents, files
@@ -83,7 +83,8 @@ def _funding(spark: SparkSession, cfg: Config, today: str, officials: DataFrame,
     )
     note = F.when(F.size("committees") == 0, "no committee configured").when(F.col("n").isNull(), "no rows matched the committees")
     notes = own.join(matched.groupBy("official_id").agg(F.count("*").alias("n")), "official_id", "left").select("official_id", note.alias("note")).where("note is not null")
-    return out, found, notes
+    gap = D.source_gap(matched).join(own, "official_id", "left_semi").select("official_id", F.lit("no row names an occupation or employer").alias("note"))
+    return out, found, notes.unionByName(gap)
 
 
 def _records(spark: SparkSession, cfg: Config, today: str, officials: DataFrame, registry: DataFrame):
@@ -139,12 +140,14 @@ def build(
     skip_freshness: bool = False,
     service_rows: DataFrame | None = None,
     service_statements: DataFrame | None = None,
+    markdown: str | Path | None = None,
 ) -> dict:
     """Build all (or the chosen) officials; the report, which is also written.
 
     Officials fail each for themselves: one with problems keeps its earlier documents.
     A cross-reference problem is fatal and builds nothing. Missing exports skip the funding
-    of all. Rows of the paged service may be given instead of files.
+    of all. Rows of the paged service may be given instead of files. ``markdown`` is a file
+    for the report as text.
     """
     started = datetime.now(timezone.utc).isoformat(timespec="seconds")
     today = today or date.today().isoformat()
@@ -185,6 +188,11 @@ def build(
     report["summary"] = f"{by.count('ok')} builder run(s) ok, {by.count('failed')} failed, {by.count('skipped')} skipped, {len(report['unavailable_sources'])} source(s) unavailable"
     report["finished_at"] = datetime.now(timezone.utc).isoformat(timespec="seconds")
     write_json(cfg.root / "data/build_report.json", report)
+    if markdown:
+        status = [(r["official_id"], r["builder"], r["status"], r["record_count"]) for r in report["results"]]
+        said = [(r["official_id"], r["builder"], p) for r in report["results"] for p in r["problems"]]
+        tables = spark.createDataFrame(status, "official_id string, builder string, status string, records int"), spark.createDataFrame(said, "official_id string, builder string, detail string")
+        Path(markdown).write_text(report_markdown(*tables, report["unavailable_sources"], report["fatal_errors"]) + "\n")
     if fresh and not skip_freshness:
         write_json(cfg.root / "data/freshness.json", {"generated_at": report["finished_at"], "officials": fresh})
     return report
@@ -246,11 +254,12 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--contributions")
     parser.add_argument("--statements")
     parser.add_argument("--skip-freshness", action="store_true")
+    parser.add_argument("--markdown", type=Path)
     parser.add_argument("--json", action="store_true")
     given = parser.parse_args(args)
     spark, cfg = local_session(), Config(given.root)
     if given.what == "build":
-        report = build(spark, cfg, None, given.contributions, given.statements, given.official, given.skip_freshness)
+        report = build(spark, cfg, None, given.contributions, given.statements, given.official, given.skip_freshness, markdown=given.markdown)
         print(json.dumps(report, indent=2) if given.json else report["summary"])
         return 0 if report["ok"] else 1
     found = validate(spark, cfg)

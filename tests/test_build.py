@@ -1,5 +1,6 @@
 """The whole way from files to published documents."""
 
+import csv
 import json
 
 import pytest
@@ -77,6 +78,24 @@ def test_failures_are_isolated(spark, root):
     assert report["ok"] and [r["status"] for r in report["results"]] == ["skipped", "ok"] and report["unavailable_sources"]
 
 
+def test_source_gap_and_markdown(spark, root):
+    path = root / "data/raw/contributions.csv"
+    build(spark, Config(root), "2026-08-01")
+    gap = "no row names an occupation or employer"
+    report = read(root, "data/build_report.json")
+    assert gap not in [n for r in report["results"] for n in r["source_notes"]]
+    rows = list(csv.DictReader(path.open()))
+    with path.open("w", newline="") as f:
+        out = csv.DictWriter(f, rows[0])
+        out.writeheader()
+        out.writerows({k: "" if "Occupation" in k or "Employer" in k else v for k, v in r.items()} for r in rows)
+    report = build(spark, Config(root), "2026-08-01", markdown=root / "report.md")
+    notes = {(r["official_id"], r["builder"]): r["source_notes"] for r in report["results"]}
+    assert notes["official-a", "funding"] == [gap] and gap not in notes["official-b", "funding"]
+    text = (root / "report.md").read_text()
+    assert text.startswith(f"**{report['summary']}**\n") and "| official-a | funding | ok | 2 | — |" in text
+
+
 def test_fatal_and_validation(spark, root):
     report = build(spark, Config(root), "2026-08-01", skip_freshness=True)
     assert report["ok"] and not (root / "data/freshness.json").exists()
