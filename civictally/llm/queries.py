@@ -103,7 +103,11 @@ def p8_found(spark, d):
 
 @query("p8_leaks")
 def p8_leaks(spark, d):
-    """Leaked passages, exact or edited, with the quality of their alignment."""
+    """Leaked passages, exact or edited, with the quality of their alignment.
+
+    An edited copy is not found where its longest common run is under 13 words and its
+    alignment under half of the item's score, or where it holds none of the seeds looked up (the
+    rarest of each eight words), which all its common runs being under eight words allows."""
     found = find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
     return found.where("longest_run >= 13 or item_share >= 0.5")
 
