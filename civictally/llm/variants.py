@@ -13,15 +13,11 @@ from pyspark.sql import functions as F
 
 from civictally.llm.components import connected_components
 from civictally.llm.grams import hash_words, mix
-from civictally.llm.names import Name, block_keys, companions, compare, initial_keys, normal_form, slips
+from civictally.llm.names import Name, asking_keys, block_keys, compare, normal_form, parsed
 from civictally.session import shared_dir, ship
 
 #: Least comparison score of a link.
 ACCEPT = 0.9
-#: Words that both stand beside so many different others, the rarer beside a share of
-#: OWN_RATIO of the other's at least, are too usual for a slip of one another.
-OWN_COMPANIONS = 20
-OWN_RATIO = 0.1
 
 
 def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: float = ACCEPT) -> DataFrame:
@@ -34,10 +30,11 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
     Every distinct text is reduced to a normal form; texts of one form are one
     donor. Forms meet in blocks by the phonetic codes of their sorted words, or of all
     words but one with an end of the last; pairs are compared word by word by
-    Jaro-Winkler, single edits and a nickname table. Two alike words that the data shows to be
-    names of their own (see ``_different``) link nothing. A form with initials instead of
-    a given name is linked to the best full form only, so that two relatives are not
-    joined by it. Accepted pairs are clustered by connected components.
+    Jaro-Winkler and a nickname table. Two words that are both listed as names of their own
+    link nothing, however alike; whether two forms are linked depends on these forms only, not on
+    the table. A form that leaves something open (initials for a given name, or a second given name
+    that others leave out) is linked to the best form that tells it only, so that two relatives are
+    not joined by it. Accepted pairs are clustered by connected components.
 
     Null or blank groups and names, null ids, and texts that name no donor
     (unitemized sums, matching funds, interest) give no row. Repeated rows collapse. Texts
@@ -45,8 +42,9 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
 
     Exact texts are combined on the map side before anything else, so that a group
     or a name with a third of all rows costs one row per task. Blocks hold distinct
-    forms that agree in sound in all words but one; they are joined, not collected, and the
-    components run over accepted links only.
+    forms of one group that agree in the sound of all words but one and in an end of that one, so
+    a block grows with the spellings of one name, not with rows; blocks are joined, not
+    collected, and the components run over accepted links only.
     """
     ship(fields[0][1].sparkSession)
     texts = None
@@ -81,15 +79,11 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf["score"] = [compare(x, y) for x, y in zip(pdf["form_a"], pdf["form_b"])]
-            pdf["whole"] = pdf["form_b"].str.contains(r"\w\w+ (?:.* )?\w\w+", regex=True)
             pdf = pdf[pdf["score"] >= accept].copy()
-            pdf["slips"] = [[" ".join(p) for p in slips(x, y)] for x, y in zip(pdf["form_a"], pdf["form_b"])]
-            yield pdf[["a", "b", "asked", "whole", "weight", "score", "slips"]]
+            pdf["whole"] = [len(parsed(f).full) > 1 for f in pdf["form_b"]]
+            yield pdf[["a", "b", "asked", "whole", "weight", "score"]]
 
-    scored = _stored(pairs.mapInPandas(score, "a bigint, b bigint, asked boolean, whole boolean, weight bigint, score double, slips array<string>"))
-    read = scored.select("a", "b", F.explode("slips").alias("slip"))
-    different = _different(blocks.select("form").distinct(), read.select("slip").distinct())
-    scored = scored.join(read.join(different, "slip").select("a", "b").distinct(), ["a", "b"], "left_anti")
+    scored = _stored(pairs.mapInPandas(score, "a bigint, b bigint, asked boolean, whole boolean, weight bigint, score double"))
     best = scored.where("asked").groupBy("a").agg(F.max_by("b", F.struct("whole", "score", "weight", "b")).alias("b"))
     links = scored.where("not asked").select("a", "b").unionByName(best)
     members = connected_components(links)
@@ -116,40 +110,13 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms, places = b.column("form").to_pylist(), b.column("place").to_numpy().astype(np.int64)
         names = [Name(f) for f in forms]
         met = [block_keys(n) for n in names]
-        initials = [initial_keys(n) for n in names]
-        lists = [_lists(places, x) for x in (met, [i[0] for i in initials], [i[1] for i in initials])]
+        asking = [asking_keys(n) for n in names]
+        lists = [_lists(places, x) for x in (met, [k[0] for k in asking], [k[1] for k in asking])]
         yield pa.RecordBatch.from_arrays(
             [b.column("node"), b.column("form"), b.column("texts"), *lists], ["node", "form", "texts", "met", "ask", "found"]
         )
 
 
-def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cells = list({c for f in b.column("form").to_pylist() for c in companions(f)})
-        yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], pa.string()) for i in (0, 1)], ["word", "beside"])
-
-
-def _different(forms: DataFrame, alike: DataFrame) -> DataFrame:
-    """The pairs of alike words (``slip``: both, with a space between) that are different names.
-
-    Counted are the distinct companions of a word, by sound, so neither the groups nor
-    the rows of a donor count. A slip stands beside what its right spellings (Mara: Maria and
-    Marta) stand beside; a name of its own mostly beside others. Where names meet nearly every
-    companion, two words with many of them are different unless one is rare beside the other."""
-    both = alike.select("slip", F.split("slip", " ").alias("w")).select("slip", F.explode("w").alias("word"))
-    cells = forms.mapInArrow(_celled, "word string, beside string").join(both.select("word").distinct(), "word", "left_semi")
-    cells = _stored(cells.distinct())
-    counts = both.join(cells.groupBy("word").agg(F.count("*").alias("n")), "word")
-    ranked = counts.groupBy("slip").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w")).where("size(w) = 2")
-    ranked = ranked.select("slip", F.expr("w[0].n as few"), F.expr("w[1].n as many"), F.expr("w[0].word as word"), F.expr("w[1].word as other"))
-    met = ranked.where("few > 2").select("word", "other").join(cells, "word")
-    shared = met.join(cells.select(F.col("word").alias("other"), "beside"), ["other", "beside"]).select("word", "beside").distinct()
-    shared = shared.groupBy("word").agg(F.count("*").alias("shared"))
-    usual = (F.col("few") >= OWN_COMPANIONS) & (F.col("few") >= F.col("many") * OWN_RATIO)
-    apart = (F.col("few") > 2) & (F.coalesce("shared", F.lit(0)) * 2 < F.col("few"))
-    return ranked.join(shared, "word", "left").where(usual | apart).select("slip")
-
-
 def variant_pairs(donors: DataFrame) -> DataFrame:
     """All pairs of texts of one donor: ``source_table``, ``id_a`` < ``id_b``."""
     a = donors.select("source_table", "grp", "donor", F.col("id").alias("id_a"))
