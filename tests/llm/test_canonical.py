@@ -10,7 +10,7 @@ REF = [
     (6, "employer", "Self-Employed", None), (7, "employer", "Not Employed", None), (8, "occupation", "Registered Nurse", "RN"),
     (9, "occupation", "Chief Executive Officer", "CEO"), (10, "occupation", "Accountant", None), (11, "occupation", "Architect", None),
     (12, "occupation", "Certified Public Accountant", "CPA"), (13, "occupation", "Real Estate Broker", None), (14, "occupation", "General Contractor", None),
-    (15, "occupation", "Software Engineer", None), (16, "occupation", "Civil Engineer", None), (None, "occupation", "Nobody", None), (17, "occupation", None, "X"),
+    (18, "occupation", "Photographer", None), (19, "occupation", "Veterinarian", None), (15, "occupation", "Software Engineer", None), (16, "occupation", "Civil Engineer", None), (None, "occupation", "Nobody", None), (17, "occupation", None, "X"),
 ]
 
 EMPLOYERS = {
@@ -22,6 +22,7 @@ EMPLOYERS = {
 JOBS = {
     "R.N.": 8, "rn": 8, "Regi. Nurse": 8, "ceo": 9, "Chief Exec. Officer": 9, "Acct.": 10, "C.P.A.": 12, "R.E. Broker": 13, "GEN'L CONTRACTOR": 14,
     "Engineer, Software": 15, "SOFTWARE ENGR": 15, "CivilE ngineer": 16, "Sundial Wrangler": 0,
+    "fotographer": 18, "photagrapfer": 18, "Acountent": 10, "vetrinarien": 19, "Sofware Enginer": 15, "cvl engineer": 16, "Arkitekt": 0, "engineer": 0, "aktor": 0,
 }
 
 
