@@ -82,7 +82,8 @@ def donor_rollup(gifts: DataFrame, order: str, n: int | None = 30) -> DataFrame:
 def donor_contributions(gifts: DataFrame, donors: DataFrame, order: str, source: DataFrame | None = None) -> DataFrame:
     """O1: gifts of the kept donors with their place by date (undated first, then as given).
     ``source``: the contributions that the gifts come from, in which hot donors are looked for."""
-    kept = gifts.join(donors.select("official_id", "donor", "donor_rank"), ["official_id", "donor"])
+    # a few donors an official: a hot one stays where its gifts are
+    kept = dimension_join(gifts, donors.select("official_id", "donor", "donor_rank"), ["official_id", "donor"], "inner")
     return numbered(kept, ["official_id", "donor"], [F.col("contribution_date").asc_nulls_first(), F.col(order).asc()], "place", blank_to_null("contributor"), source)
 
 

@@ -37,14 +37,23 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
 def dimension_join(
     fact: DataFrame,
     dim: DataFrame,
-    on: Column | str | list[str],
+    on: str | list[str],
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join a table unique by key: by broadcast when it was counted to be small,
-    else by an ordinary shuffled join, which adaptive execution splits at skewed
-    partitions."""
-    return fact.join(F.broadcast(dim) if is_small(dim, max_rows) else dim, on, how)
+    """Join (inner, left, left_semi or left_anti) a table unique by key: by broadcast when it was
+    counted to be small. Else keys that hold more than HOT_SHARE of the facts (at most 1 / HOT_SHARE
+    of them) are broadcast, so that their rows stay where they are, and the rest is shuffled."""
+    if is_small(dim, max_rows):
+        return fact.join(F.broadcast(dim), on, how)
+    keys = [on] if isinstance(on, str) else on
+    # null keys match nothing, wherever they are
+    key = F.when(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 0, F.xxhash64(*keys))
+    hot = hot_keys(fact, key)
+    if not hot:
+        return fact.join(dim, on, how)
+    among = F.coalesce(key.isin(hot), F.lit(False))
+    return fact.where(among).join(F.broadcast(dim.where(among)), on, how).unionByName(fact.where(~among).join(dim.where(~among), on, how))
 
 
 def lookup_join(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civictally.functions.text import strip
 from civictally.operators.joins import BROADCAST_ROWS, dimension_join
+from civictally.operators.quality import union_all
 from civictally.session import cut
 
 
@@ -71,90 +72,79 @@ def _links(t: Table, ref: Reference) -> DataFrame:
     ).where("k is not null and k <> ''")
 
 
-def orphan_cascade(
-    tables: dict[str, Table], references: list[Reference], max_rows: int = BROADCAST_ROWS, depth: str = "all"
-) -> DataFrame:
+def orphan_cascade(tables: dict[str, Table], references: list[Reference], max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Orphan references of a foreign-key graph.
 
     Columns: ``source_field`` (table.column), ``row_key`` (string), ``period_month``
     (yyyy-MM or none), ``reason`` (missing, deleted, late; for inherited ones the word
-    inherited) and ``kind`` (direct or inherited).
+    inherited), ``kind`` (direct or inherited) and ``depth`` (0 for direct ones, else the round
+    that found it: the number of references between it and a direct one).
 
-    A reference is direct when its target had no valid row as the child came in:
-    no such key, else deleted at or before that moment, else loaded after it. A
-    child whose target exists but is itself an orphan row is inherited; this is
-    iterated by semi-joins until no table gains an orphan, so chains and cycles
-    of any length end. A reference is reported once, direct before inherited.
+    All orphans are rows of one relation that is iterated. Its first round holds the direct
+    ones: references whose target had no valid row as the child came in: no such key, else deleted at
+    or before that moment, else loaded after it. Each further round semi-joins the valid
+    references with the keys of the rows that the round before orphaned, down the
+    foreign-key graph, until no round gains a row; so chains and cycles of any length end. A
+    reference is reported once, direct before inherited, at its least depth.
 
     Null or blank keys are no references. A null arrival time is neither before a
     deletion nor before a load. Rows with a null id are reported with a null
     ``row_key``. Repeated rows are reported as often as they come. Empty tables give no
     targets and no links. Columns not named are not read.
 
-    Target tables are broadcast only when counted to be small; else the join is
-    shuffled, and adaptive execution splits a hot target key. Between rounds only the keys of
-    newly orphaned parent rows are kept, written to the shared folder.
-
-    ``depth="direct"`` stops before the cascade.
+    Target tables are broadcast only when counted to be small; else a hot target key is
+    broadcast by itself and the rest is shuffled. Every round is written to the shared folder;
+    between rounds only the keys of newly orphaned parent rows are kept.
     """
-    out = None
-    links = {r.name: _links(tables[r.child], r) for r in references}
-    judged = {}
-    for r in references:
-        j = dimension_join(links[r.name], _targets(tables[r.parent], r), "k", "left", max_rows)
+    parents = {r.parent for r in references}
+
+    def judged(r: Reference) -> DataFrame:
         reason = (
             F.when(F.col("there").isNull(), "missing")
             .when(F.col("deleted") <= F.col("at"), "deleted")
             .when(F.col("loaded") > F.col("at"), "late")
         )
-        judged[r.name] = j.select(F.lit(r.name).alias("source_field"), "row_key", "period_month", reason.alias("reason"), "k")
-        direct = judged[r.name].where("reason is not null").select(
-            "source_field", "row_key", "period_month", "reason", F.lit("direct").alias("kind")
-        )
-        out = direct if out is None else out.unionByName(direct)
-    if depth == "direct":
-        return out
-
-    def ref_keys(name: str, rows: DataFrame, r: Reference) -> DataFrame:
-        """Of the orphan rows ``rows`` (their ids), the keys by which others refer to them."""
-        t = tables[name]
-        ids = t.df.select(
-            F.col(t.key).cast("string").alias("row_key"),
-            r.normalise(strip(F.col(t.ref_key or t.key).cast("string"))).alias("k"),
-        )
+        links = dimension_join(_links(tables[r.child], r), _targets(tables[r.parent], r), "k", "left", max_rows)
+        return links.select(F.lit(r.name).alias("source_field"), "row_key", "period_month", reason.alias("reason"), "k")
+
+    def rows_of(relation: DataFrame, child: str) -> DataFrame:
+        """The rows of a table that a round orphaned; a null id names none."""
+        return relation.where(F.col("source_field").isin(*[r.name for r in references if r.child == child])).select("row_key").dropna().distinct()
+
+    def ref_keys(r: Reference, rows: DataFrame) -> DataFrame:
+        """The keys by which others refer to the rows ``rows`` of the parent of a reference."""
+        t = tables[r.parent]
+        ids = t.df.select(F.col(t.key).cast("string").alias("row_key"), r.normalise(strip(F.col(t.ref_key or t.key).cast("string"))).alias("k"))
         return ids.join(rows, "row_key", "left_semi").select("k").where("k is not null").distinct()
 
-    parents = {r.parent for r in references}
-    # orphan rows so far and those found in the last round, by table that has children
-    found = {}
-    for p in parents:
-        own = [judged[r.name].where("reason is not null").select("row_key") for r in references if r.child == p]
-        if own:
-            rows = own[0]
-            for x in own[1:]:
-                rows = rows.union(x)
-            found[p] = cut(rows.distinct())
-    frontier = dict(found)
+    links = {r.name: judged(r) for r in references}
+    shape = ("source_field", "row_key", "period_month", "reason", "kind", "depth")
+    direct = union_all([links[r.name].where("reason is not null") for r in references])
+    rounds = [cut(direct.select(*shape[:4], F.lit("direct").alias("kind"), F.lit(0).alias("depth")))]
+    # rows orphaned so far, by table that has children, and keys already handed down, by reference
+    found, told = {}, {}
+    frontier = {p: rows_of(rounds[0], p) for p in parents if any(r.child == p for r in references)}
     while frontier:
-        gained = {}
+        gained = []
         for r in references:
-            if r.parent in frontier and r.child in parents:
-                rows = judged[r.name].join(ref_keys(r.parent, frontier[r.parent], r), "k", "left_semi").select("row_key")
-                gained[r.child] = gained[r.child].union(rows) if r.child in gained else rows
+            if r.parent not in frontier:
+                continue
+            keys = ref_keys(r, frontier[r.parent])
+            keys = cut(keys.join(told[r.name], "k", "left_anti") if r.name in told else keys)
+            if not keys.isEmpty():
+                told[r.name] = cut(told[r.name].union(keys)) if r.name in told else keys
+                gained.append(dimension_join(links[r.name].where("reason is null"), keys, "k", "left_semi", max_rows))
+        if not gained:
+            break
+        inherited = [F.lit("inherited").alias("reason"), F.lit("inherited").alias("kind"), F.lit(len(rounds)).alias("depth")]
+        rounds.append(cut(union_all(gained).select(*shape[:3], *inherited)))
+        for p in frontier:
+            found[p] = cut(found[p].union(frontier[p])) if p in found else frontier[p]
         frontier = {}
-        for child, rows in gained.items():
-            known = found.get(child)
-            fresh = rows.distinct() if known is None else rows.distinct().join(known, "row_key", "left_anti")
-            fresh = cut(fresh)
-            if not fresh.isEmpty():
-                frontier[child] = fresh
-                found[child] = fresh if known is None else cut(known.union(fresh))
-    for r in references:
-        if r.parent in found:
-            late = judged[r.name].where("reason is null").join(ref_keys(r.parent, found[r.parent], r), "k", "left_semi")
-            out = out.unionByName(
-                late.select(
-                    "source_field", "row_key", "period_month", F.lit("inherited").alias("reason"), F.lit("inherited").alias("kind")
-                )
-            )
-    return out
+        for p in parents:
+            rows = rows_of(rounds[-1], p) if any(r.child == p for r in references) else None
+            if rows is not None:
+                rows = cut(rows.join(found[p], "row_key", "left_anti") if p in found else rows)
+                if not rows.isEmpty():
+                    frontier[p] = rows
+    return union_all(rounds)

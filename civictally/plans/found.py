@@ -95,6 +95,7 @@ _ORPHANS_SQL = r"""
 
 @query("p4_found", _ORPHANS_SQL + "SELECT source_field, row_key, period_month, reason FROM j WHERE reason IS NOT NULL")
 def p4_found(spark, d):
+    """The rows of the cascade's relation that its first round found, of the three references asked for."""
     found = orphan_cascade(_graph(spark, d), REFERENCES).where("kind = 'direct'")
     found = found.where(F.col("source_field").isin(*[r.name for r in REFERENCES[:3]]))
     return found.select("source_field", F.col("row_key").cast("bigint").alias("row_key"), "period_month", "reason")
@@ -120,6 +121,45 @@ def p4_report(spark, d):
     return found.groupBy("source_field", "period_month", "reason", "kind").agg(F.count("*").alias("orphans"))
 
 
+#: A chain of four references below the regions.
+CHAIN = [
+    Reference("nation", "n_regionkey", "region"),
+    Reference("customer", "c_nationkey", "nation"),
+    Reference("supplier", "s_nationkey", "nation"),
+    Reference("orders", "o_custkey", "customer"),
+    Reference("lineitem", "l_orderkey", "orders"),
+]
+
+
+@query(
+    "p4_cascade",
+    """
+    WITH RECURSIVE edges AS (
+        SELECT 'nation.n_regionkey' AS source_field, 'nation' AS child, n_nationkey AS id, 'region' AS parent, n_regionkey AS ref FROM nation
+        UNION ALL SELECT 'customer.c_nationkey', 'customer', c_custkey, 'nation', c_nationkey FROM customer
+        UNION ALL SELECT 'supplier.s_nationkey', 'supplier', s_suppkey, 'nation', s_nationkey FROM supplier
+        UNION ALL SELECT 'orders.o_custkey', 'orders', o_orderkey, 'customer', o_custkey FROM orders
+        UNION ALL SELECT 'lineitem.l_orderkey', 'lineitem', l_orderkey, 'orders', l_orderkey FROM lineitem),
+    there AS (SELECT 'region' AS t, r_regionkey AS id FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT 'nation', n_nationkey FROM nation
+        UNION ALL SELECT 'customer', c_custkey FROM customer UNION ALL SELECT 'orders', o_orderkey FROM orders),
+    direct AS (SELECT e.* FROM edges e LEFT JOIN there p ON p.t = e.parent AND p.id = e.ref WHERE p.id IS NULL AND e.ref IS NOT NULL),
+    lost AS (SELECT child, id, 0 AS depth FROM direct
+        UNION SELECT e.child, e.id, l.depth + 1 FROM lost l JOIN edges e ON e.parent = l.child AND e.ref = l.id),
+    least AS (SELECT child, id, min(depth) AS depth FROM lost GROUP BY ALL),
+    found AS (SELECT source_field, 'missing' AS reason, 'direct' AS kind, 0 AS depth FROM direct
+        UNION ALL SELECT e.source_field, 'inherited', 'inherited', l.depth + 1 FROM edges e JOIN least l ON e.parent = l.child AND e.ref = l.id)
+    SELECT source_field, reason, kind, depth, count(*) AS orphans FROM found GROUP BY ALL
+    """,
+)
+def p4_cascade(spark, d):
+    """What hangs on a withdrawn region: its nations directly, their customers and suppliers, orders and lines by inheritance."""
+    keys = {"nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    tables = {name: Table(table(spark, d, name), key) for name, key in keys.items()}
+    tables["region"] = Table(table(spark, d, "region").where("r_name <> 'ASIA'"), "r_regionkey")
+    found = orphan_cascade(tables, CHAIN)
+    return found.groupBy("source_field", "reason", "kind", "depth").agg(F.count("*").alias("orphans"))
+
+
 def _records(spark, d):
     return parse_records(table(spark, d, "contribution_lines"), "raw_line", "line_id", ["file_name", "line_no"])
 

@@ -209,3 +209,63 @@ def test_found_records(spark, data):
         else:
             assert got.get(i) in (None, "bad_amount", "bad_date", "bad_period")
     assert core_queries()["p5_loaded"](spark, data).count() == len(lines) - len(got)
+
+
+def test_orphan_depth_and_null_rows(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "nobody"), (None, "a"), (None, "nobody"), ("x", None), ("b", "c")]
+    t = {"n": Table(spark.createDataFrame(rows, "id string, up string"), "id")}
+    got = sorted((r.row_key or "", r.kind, r.depth) for r in orphan_cascade(t, [Reference("n", "up", "n")]).collect())
+    assert got == [("", "direct", 0), ("", "inherited", 3), ("a", "inherited", 2), ("b", "inherited", 1), ("b", "inherited", 1), ("c", "direct", 0)]
+
+
+def test_cascade_over_a_chain_of_tables(spark, data):
+    from civictally.plans import core_queries
+
+    got = {(r.source_field, r.kind): r.orphans for r in core_queries()["p4_cascade"](spark, data).collect()}
+    assert got["nation.n_regionkey", "direct"] > 0
+    assert all(got[name, "inherited"] > 0 for name in ("customer.c_nationkey", "orders.o_custkey", "lineitem.l_orderkey"))
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_hot_key_of_a_shuffled_join(spark, monkeypatch, how):
+    from pyspark.sql import functions as F
+
+    from civictally.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 != 0, F.concat(F.lit("k"), F.col("id") % 50))
+    facts = spark.range(3000).select("id", key.alias("k"))
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", None), ("none", 3)], "k string, v int")
+    told = []
+    real = joins.hot_keys
+    monkeypatch.setattr(joins, "hot_keys", lambda *a: told.append(real(*a)) or told[-1])
+    split = joins.dimension_join(facts, dim, "k", how, max_rows=0)
+    want = facts.join(dim, "k", how)
+    assert sorted(map(str, split.select(*want.columns).collect())) == sorted(map(str, want.collect())) and told[0]
+
+
+def test_no_cluster_without_a_shared_folder(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from civictally import session
+
+    assert session.is_local("local[8]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("spark://host:7077")
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: Context._jsc)
+            getCheckpointDir = staticmethod(lambda: Context._jsc)
+            isDefined = staticmethod(lambda: False)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir is not set"):
+        session.shared_dir(Session)
+    df = session.stored(spark.range(5).withColumn("x", F.lit("a")), "kept")
+    assert df.count() == 5
+    session.drop_stored(spark, df)
+    assert not any("kept-" in f for f in session._folders(spark))
