@@ -64,3 +64,25 @@ def test_nested_and_binary_columns(spark):
     df = spark.createDataFrame([(1, "a b", [1, 2], b"x"), (2, "b a", [1, 2], b"x"), (3, "b a", [12], b"x")], "id int, a string, n array<int>, z binary")
     got = formatting_duplicates(df, "id", ["a"], ["n", "z"]).where("copy_id > first_id").collect()
     assert [(r.first_id, r.copy_id) for r in got] == [(1, 2)]
+
+
+def test_trees_of_any_depth(spark):
+    kind = "id int, a string, n struct<x:array<string>, m:map<string,struct<p:int,q:array<int>>>>, u array<string>, extra string"
+    one, two = (1, [1, 2]), (None, [])
+    rows = [
+        (1, "B, a", (["k", "l"], {"s": one, "t": two}), ["Jo Lee", "Al"], "x"), (2, "a b", (["k", "l"], {"t": two, "s": one}), ["AL", "lee, jo"], "y"),
+        (3, "a b", (["l", "k"], {"s": one, "t": two}), ["Al", "Jo Lee"], "x"), (4, "a b", (["k", "l"], {"s": (1, [2, 1]), "t": two}), ["Al", "Jo Lee"], "x"),
+        (5, "a b", (["k", "l"], {"s": one, "t": (None, None)}), ["Al", "Jo Lee"], "x"), (6, "a b", (["k", "l"], {"s": one, "t": two}), ["Al Jo", "Lee"], "x"),
+        (7, None, None, None, "x"), (8, None, None, None, "z"), (9, None, (None, None), None, "x"), (10, None, None, [None], "x"), (11, None, None, [], "x"),
+    ]
+    got = formatting_duplicates(spark.createDataFrame(rows, kind), "id", ["a", "u"], ["n"]).where("copy_id > first_id").collect()
+    assert sorted((r.first_id, r.copy_id) for r in got) == [(1, 2), (7, 8)]
+
+
+def test_hot_digest_stays_where_it_is(spark):
+    """With the broadcast switch at 0 the rows of a record with a third of all rows are not shuffled by digest."""
+    df = spark.range(0, 30_000, 1, 6).select("id", F.when(F.col("id") % 3 == 0, F.lit("Hot, Name")).otherwise(F.concat(F.lit("n"), F.col("id") % 5000)).alias("a"))
+    got = formatting_duplicates(df, "id", ["a"], [], 0)
+    hot = got.where("first_id = 0")
+    sizes = [r["count"] for r in hot.groupBy(F.spark_partition_id()).count().collect()]
+    assert got.count() == 30_000 and sum(sizes) == 10_000 and max(sizes) <= 2 * 10_000 / 6
