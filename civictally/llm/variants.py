@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from civictally.llm.components import connected_components
 from civictally.llm.grams import hash_words, mix
 from civictally.llm.names import Name, asking_keys, block_keys, compare, normal_form, parsed
-from civictally.session import shared_dir, ship
+from civictally.session import drop_stored, ship, stored
 
 #: Least comparison score of a link.
 ACCEPT = 0.9
@@ -46,7 +45,8 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
     a block grows with the spellings of one name, not with rows; blocks are joined, not
     collected, and the components run over accepted links only.
     """
-    ship(fields[0][1].sparkSession)
+    spark = fields[0][1].sparkSession
+    ship(spark)
     texts = None
     for label, df, group, key, name in fields:
         grp = F.regexp_replace(F.col(group).cast("string"), r"(?U)^\s+|\s+\z", "")
@@ -61,10 +61,10 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
 
     texts = texts.mapInPandas(normalise, "source_table string, grp string, form string, id bigint")
     # a form is known by a hash; only two forms of one group could be confused by it
-    texts = _stored(texts.select("source_table", "grp", "form", "id", F.xxhash64("source_table", "grp", "form").alias("node")))
+    texts = stored(texts.select("source_table", "grp", "form", "id", F.xxhash64("source_table", "grp", "form").alias("node")), "names")
     forms = texts.groupBy("node").agg(F.min("form").alias("form"), F.min(F.xxhash64("source_table", "grp")).alias("place"), F.count("*").alias("texts"))
 
-    blocks = _stored(forms.mapInArrow(_keyed, "node bigint, form string, texts bigint, met array<bigint>, ask array<bigint>, found array<bigint>"))
+    blocks = stored(forms.mapInArrow(_keyed, "node bigint, form string, texts bigint, met array<bigint>, ask array<bigint>, found array<bigint>"), "names")
     a = blocks.select(F.explode("met").alias("key"), F.col("node").alias("a"))
     b = blocks.select(F.explode("met").alias("key"), F.col("node").alias("b"))
     pairs = a.join(b, "key").where("a < b").select("a", "b").distinct()
@@ -83,35 +83,44 @@ def name_variants(fields: list[tuple[str, DataFrame, str, str, str]], accept: fl
             pdf["whole"] = [len(parsed(f).full) > 1 for f in pdf["form_b"]]
             yield pdf[["a", "b", "asked", "whole", "weight", "score"]]
 
-    scored = _stored(pairs.mapInPandas(score, "a bigint, b bigint, asked boolean, whole boolean, weight bigint, score double"))
+    scored = stored(pairs.mapInPandas(score, "a bigint, b bigint, asked boolean, whole boolean, weight bigint, score double"), "names")
+    drop_stored(spark, blocks)
     best = scored.where("asked").groupBy("a").agg(F.max_by("b", F.struct("whole", "score", "weight", "b")).alias("b"))
     links = scored.where("not asked").select("a", "b").unionByName(best)
     members = connected_components(links)
+    drop_stored(spark, scored)
     return texts.join(members, "node", "left").select("source_table", "grp", "id", F.coalesce("component", "node").alias("donor"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder as a compressed table and read from there."""
-    folder = f"{shared_dir(df.sparkSession)}/names-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+#: Forms whose keys a Python worker keeps: one donor's form comes in many groups.
+KEPT_FORMS = 50_000
+_keys_of: dict[str, list[np.ndarray]] = {}
 
 
-def _lists(places: np.ndarray, keys: list[set[str]]) -> pa.Array:
-    """Keys of each form as hashes that also tell the groups apart."""
-    counts = np.array([len(k) for k in keys], np.int64)
-    flat = [k for own in keys for k in own]
-    hashed = hash_words(flat) ^ (np.repeat(places, counts).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(mix(hashed).view(np.int64)))
+def _hashed_keys(forms: list[str]) -> list[list[np.ndarray]]:
+    """For each kind of key (met, ask, found) the hashed keys of each form."""
+    if len(_keys_of) > KEPT_FORMS:
+        _keys_of.clear()
+    new = list(dict.fromkeys(f for f in forms if f not in _keys_of))
+    names = [Name(f) for f in new]
+    own = [(block_keys(n), *asking_keys(n)) for n in names]
+    flat = [k for keys in own for kind in keys for k in kind]
+    ends = np.cumsum([len(kind) for keys in own for kind in keys])
+    hashed = np.split(hash_words(flat), ends[:-1]) if own else []
+    for i, f in enumerate(new):
+        _keys_of[f] = hashed[3 * i : 3 * i + 3]
+    return [[_keys_of[f][kind] for f in forms] for kind in range(3)]
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        forms, places = b.column("form").to_pylist(), b.column("place").to_numpy().astype(np.int64)
-        names = [Name(f) for f in forms]
-        met = [block_keys(n) for n in names]
-        asking = [asking_keys(n) for n in names]
-        lists = [_lists(places, x) for x in (met, [k[0] for k in asking], [k[1] for k in asking])]
+        places = b.column("place").to_numpy().astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        lists = []
+        for keys in _hashed_keys(b.column("form").to_pylist()):
+            counts = np.array([len(k) for k in keys], np.int64)
+            # keys of one text in two groups are two keys
+            flat = np.concatenate([np.zeros(0, np.uint64), *keys]) ^ np.repeat(places, counts)
+            lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(mix(flat).view(np.int64))))
         yield pa.RecordBatch.from_arrays(
             [b.column("node"), b.column("form"), b.column("texts"), *lists], ["node", "form", "texts", "met", "ask", "found"]
         )
