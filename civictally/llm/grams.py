@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Odd multipliers of the two independent window hashes, with their inverses modulo 2**64.
-BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+#: Odd multiplier of the window hash, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -44,15 +45,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def window_hashes(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive values of ``words``."""
     n = len(words)
     if n < width:
         return np.zeros(0, np.uint64)
-    base, inverse = BASES[which]
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * _powers(base, n), out=total[1:])
-    return mix((total[width:] - total[:-width]) * _powers(inverse, n - width + 1))
+    np.cumsum(words * _powers(BASE, n), out=total[1:])
+    return mix((total[width:] - total[:-width]) * _powers(INVERSE, n - width + 1))
 
 
 def whole_windows(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,36 +3,41 @@
 from __future__ import annotations
 
 import base64
-import uuid
+import os
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civictally.operators.joins import BROADCAST_ROWS, dimension_join
-from civictally.session import shared_dir, ship
+from civictally.session import cut, ship, stored
 
-#: Where the public tokenizer's ranks lie on every executor.
+#: The public tokenizer's ranks: a file of the driver, sent to all executors, or one that each of them has.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that tokenizer splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the token that stands behind every text, one beyond those of that tokenizer.
+SEPARATOR = 50256
 BLOCK_TOKENS = 512
 SHARD_SLOTS = 1024
 #: Standard deviations of a source's draws that the default total leaves below its cap.
 MARGIN = 4.0
+#: A source that allows less than this share of the size that the next larger one allows runs out.
+TINY = 0.01
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str = PATTERN):
     import tiktoken
 
-    with open(path, "rb") as f:
+    # where a machine has no such file, the copy that the driver sent
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -40,9 +45,9 @@ def encoder(path: str, pattern: str = PATTERN):
 _PACKED = "part int, source string, local bigint, tokens array<int>"
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of ``length`` tokens of each source among the task's texts; what is
-    left of a source comes last, as a shorter block numbered -1."""
+def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, separator: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``length`` tokens of each source among the task's texts, each text followed by the
+    separator; what is left of a source comes last, as a shorter block numbered -1."""
     encode = encoder(path).encode_ordinary
     part = TaskContext.get().partitionId()
     rest: dict[str, list[int]] = {}
@@ -64,6 +69,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator
         for source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             held = rest.setdefault(source, [])
             held += encode(text)
+            held.append(separator)
             whole = len(held) // length
             if whole:
                 first = made.get(source, 0)
@@ -74,9 +80,13 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator
     yield batch([(source, -1, held) for source, held in rest.items() if held])
 
 
-def pack_blocks(df: DataFrame, source: str, text: str, path: str = TOKENIZER, length: int = BLOCK_TOKENS, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def pack_blocks(df: DataFrame, source: str, text: str, path: str = TOKENIZER, length: int = BLOCK_TOKENS, max_rows: int = BROADCAST_ROWS, separator: int = SEPARATOR) -> DataFrame:
     """``source``, ``block`` (numbered from 0 within the source) and ``tokens``.
 
+    The token ``separator`` stands behind every text, so that no two texts run into each other and the
+    ends of texts can be found. Blocks are numbered by the task that packed them: another split of the
+    input gives other blocks, of the same tokens.
+
     Every task packs the texts it reads, so that tokens are not shuffled; only the
     tasks' remainders, less than one block for each task and source, are laid end to end and
     packed again. Just the last block of a source may be shorter. The blocks are written to
@@ -84,10 +94,10 @@ def pack_blocks(df: DataFrame, source: str, text: str, path: str = TOKENIZER, le
     """
     spark = df.sparkSession
     ship(spark)
-    folder = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
     rows = df.select(F.col(source).alias("source"), F.col(text).alias("text")).where("source is not null and text <> ''")
-    rows.mapInArrow(partial(_pack, path=path, length=length), _PACKED).write.option("compression", "zstd").parquet(folder)
-    packed = spark.read.schema(_PACKED).parquet(folder)
+    packed = stored(rows.mapInArrow(partial(_pack, path=path, length=length, separator=separator), _PACKED), "blocks")
     counts = packed.where("local >= 0").groupBy("source", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("source", "part", before.alias("before"))
@@ -140,31 +150,66 @@ class Plan:
         shares = np.array([wanted[s][0] for s in usable])
         self.shares = shares / shares.sum() if usable else shares
         if total is None and usable:
-            # largest n with n p + MARGIN sqrt(n p) within the cap of every source
-            root = (np.sqrt(MARGIN**2 + 4 * self.caps) - MARGIN) / 2
-            total = max(1, int((root**2 / self.shares).min()))
-        self.slots = total if usable else 0
-
-
-def _draw(batches: Iterator[pd.DataFrame], plan: Plan, shard_slots: int, seed: int) -> Iterator[pd.DataFrame]:
+            total = self._default()
+        # more than all sources can give is not asked for
+        self.slots = min(total, int(self.caps.sum())) if usable else 0
+
+    def _default(self) -> int:
+        """The largest number of slots at which no source is expected to need more than its limit
+        (MARGIN standard deviations of its draws kept free). A source of so few blocks that it would by
+        itself hold the mixture under TINY of what the others allow does not set the size: it runs out."""
+        root = (np.sqrt(MARGIN**2 + 4 * self.caps) - MARGIN) / 2
+        allowed = np.sort(np.maximum(root**2 / self.shares, 1.0))
+        total = allowed[0]
+        for low, high in zip(allowed, allowed[1:]):
+            if low >= TINY * high:
+                break
+            total = high
+        return max(1, int(total))
+
+
+def _draw(batches: Iterator[pd.DataFrame], shares: np.ndarray, slots: int, shard_slots: int, seed: int) -> Iterator[pd.DataFrame]:
     """Multinomial counts of the sources in each shard."""
     for pdf in batches:
-        rows = []
-        for shard in pdf["id"]:
-            rng = np.random.Generator(np.random.Philox(key=[seed, shard]))
-            counts = rng.multinomial(min(shard_slots, plan.slots - shard * shard_slots), plan.shares)
-            rows += [(shard, s, int(n)) for s, n in enumerate(counts) if n]
-        yield pd.DataFrame(rows, columns=["shard", "s", "n"])
+        shards = pdf["id"].to_numpy()
+        counts = [np.random.Generator(np.random.Philox(key=[seed, s])).multinomial(min(shard_slots, slots - s * shard_slots), shares) for s in shards]
+        yield pd.DataFrame({"shard": shards, "range": shards // RANGE, "counts": list(np.array(counts, np.int64))})
+
+
+#: Shards of a range: counts are summed within ranges, in parallel, and over the ranges' sums.
+RANGE = 10_000
+
+
+def _offsets(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each shard's counts with the draws of each source in the shards of the range before it."""
+    pdf = pdf.sort_values("shard")
+    counts = np.array(pdf["counts"].tolist(), np.int64)
+    return pd.DataFrame({"shard": pdf["shard"], "range": pdf["range"], "counts": list(counts), "before": list(np.cumsum(counts, axis=0) - counts)})
+
 
+def _slots(batches: Iterator[pd.DataFrame], plan: Plan, starts: np.ndarray, extra: np.ndarray, seed: int) -> Iterator[pd.DataFrame]:
+    """Slots of each shard in pseudorandom order, mapped to a block and the time it is used.
 
-def _slots(batches: Iterator[pd.DataFrame], plan: Plan, seed: int) -> Iterator[pd.DataFrame]:
-    """Slots of each shard in pseudorandom order, mapped to a block and the time it is used."""
+    A draw beyond the limit of its source is given to one that has blocks left: the n-th such draw of all
+    takes the n-th place of those left, under a pseudorandom permutation of them."""
+    whole = np.cumsum(extra)
     for pdf in batches:
-        for shard, drawn in zip(pdf["shard"], pdf["drawn"]):
+        for shard, rng, counts, before in zip(pdf["shard"], pdf["range"], pdf["counts"], pdf["before"]):
+            first = np.asarray(before, np.int64) + starts[int(rng)]
+            counts = np.asarray(counts, np.int64)
+            kept = np.clip(plan.caps - first, 0, counts)
+            # draws beyond the limits, over all sources, before this shard and in it
+            past = int(np.maximum(first - plan.caps, 0).sum())
+            more = np.arange(past, past + int((counts - kept).sum()))
+            if len(more):
+                more = permuted(more, int(whole[-1]), seed * 2 + 1)
+            given = np.searchsorted(whole, more, "right")
             parts = []
-            for d in sorted(drawn, key=lambda d: d["s"]):
-                s, size = d["s"], int(plan.blocks[d["s"]])
-                i = np.arange(d["before"], min(d["before"] + d["n"], int(plan.caps[s])))
+            for s in range(len(counts)):
+                size = int(plan.blocks[s])
+                # those left of a source are its last places
+                left = int(plan.caps[s] - extra[s]) + (more[given == s] - int(whole[s] - extra[s]))
+                i = np.concatenate([np.arange(first[s], first[s] + kept[s]), left])
                 use = i // size
                 block = np.empty(len(i), np.int64)
                 for u in np.unique(use):
@@ -187,6 +232,7 @@ def mix_sources(
     shard_slots: int = SHARD_SLOTS,
     seed: int = 0,
     max_rows: int = BROADCAST_ROWS,
+    separator: int = SEPARATOR,
 ) -> tuple[DataFrame, DataFrame]:
     """A training mixture in which each source has its target share, and its report.
 
@@ -199,22 +245,28 @@ def mix_sources(
     and no text more often.
 
     The default size is the largest at which every source is expected to keep its
-    share within its limit (with MARGIN standard deviations to spare). With a larger
-    ``total_tokens`` a source that runs out leaves its slots empty, as the report shows. Sources
+    share within its limit, MARGIN standard deviations to spare; a source of so few blocks that it alone
+    would shrink the mixture (see TINY) does not set it. Where a source runs out, its further
+    draws go to the sources that have blocks left, in proportion to what they have left, so that the
+    mixture has its full size; the report shows the shares reached. A larger ``total_tokens`` than all
+    limits allow is cut to what they allow. Sources
     of the list without texts cannot be drawn; the others share in proportion.
     Null sources, null or empty texts and sources not listed are not used; the report
-    lists the latter with a null target. Nothing usable gives an empty mixture.
+    lists the latter with a null target. Nothing usable gives an empty mixture. Every text ends with
+    ``separator``; sizes in tokens count it.
 
     Mixture: ``shard``, ``slot``, ``source``, ``block``, ``use`` (1 for the first), ``tokens``.
     Report: ``source``, ``target_share``, ``max_repeats``, ``tokens_available``,
     ``tokens_used``, ``share_reached``, ``most_uses``. Other columns are not read.
 
+    Counts are drawn shard by shard; their running sums are made within ranges of RANGE shards in parallel and
+    over the ranges' sums on the driver (one number for each source and 10,000 shards).
     Tokens are written once and shuffled only in the join of blocks with slots, and
     there only if the slots are too many to be sent to all executors. Block
     numbers are spread evenly, so a source with a third of all texts is no hot key.
     """
     spark = documents.sparkSession
-    blocks = pack_blocks(documents, source, text, path, length, max_rows)
+    blocks = pack_blocks(documents, source, text, path, length, max_rows, separator)
     sizes = blocks.select("source", F.size("tokens").alias("n")).groupBy("source").agg(F.count("*").alias("blocks"), F.sum("n").alias("tokens_available"))
     listed = targets.select("source", "target_share", "max_repeats").where("source is not null")
     wanted = listed.collect()
@@ -223,10 +275,19 @@ def mix_sources(
     available = {r.source: r for r in sizes.where(F.col("source").isin(names)).collect()}
     plan = Plan(wanted, {s: r.blocks for s, r in available.items()}, None if total_tokens is None else -(-total_tokens // length))
     shards = -(-plan.slots // shard_slots)
-    drawn = spark.range(shards).mapInPandas(partial(_draw, plan=plan, shard_slots=shard_slots, seed=seed), "shard bigint, s int, n bigint")
-    before = F.coalesce(F.sum("n").over(W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")
-    drawn = drawn.select("shard", "s", "n", before).groupBy("shard").agg(F.collect_list(F.struct("s", "n", "before")).alias("drawn"))
-    slots = drawn.mapInPandas(partial(_slots, plan=plan, seed=seed), "shard bigint, slot bigint, source string, block bigint, use bigint")
+    draw = partial(_draw, shares=plan.shares, slots=plan.slots, shard_slots=shard_slots, seed=seed)
+    drawn = cut(spark.range(shards).mapInPandas(draw, "shard bigint, range bigint, counts array<bigint>"))
+    # one row a range and source: the sums of RANGE shards
+    sums = drawn.select("range", F.posexplode("counts").alias("s", "n")).groupBy("range", "s").agg(F.sum("n").alias("n"))
+    totals = np.zeros((-(-shards // RANGE) + 1, len(plan.sources)), np.int64)
+    for r in sums.toLocalIterator():
+        totals[r.range + 1, r.s] = r.n
+    starts = np.cumsum(totals, axis=0)
+    # what a source that is not drawn up to its limit has left
+    extra = np.maximum(plan.caps - starts[-1], 0) if shards else plan.caps
+    placed = drawn.groupBy("range").applyInPandas(_offsets, "shard bigint, range bigint, counts array<bigint>, before array<bigint>")
+    fill = partial(_slots, plan=plan, starts=starts, extra=extra, seed=seed)
+    slots = placed.mapInPandas(fill, "shard bigint, slot bigint, source string, block bigint, use bigint")
     mixture = blocks.join(F.broadcast(slots) if plan.slots <= max_rows else slots, ["source", "block"])
     mixture = mixture.select("shard", "slot", "source", "block", "use", "tokens")
 

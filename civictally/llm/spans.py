@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civictally.llm.grams import hash_words, space_words, whole_windows, window_hashes
+from civictally.llm.grams import hash_words, mix, space_words, whole_windows, window_hashes
 from civictally.operators.joins import BROADCAST_ROWS, lookup_join
 from civictally.session import cut, remove_path, shared_dir, ship
 
@@ -27,8 +28,8 @@ from civictally.session import cut, remove_path, shared_dir, ship
 DEPTH = 2
 #: Cells of one block of a sketch row; a block is the unit that is merged.
 BLOCK = 1 << 16
-#: Most cells of a row (128 MB as bits). A larger corpus fills the sketch more, so that
-#: more windows reach the exact grouping; none is lost by it.
+#: Most cells of a row (128 MB as bits), enough for some five billion words at the width of 60. A
+#: larger corpus fills the sketch more, so that more windows reach the exact grouping; none is lost by it.
 MAX_CELLS = 1 << 30
 #: Words hashed at once in a task.
 CHUNK_WORDS = 2_000_000
@@ -52,9 +53,41 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         yield ids, words, np.array(counts)
 
 
-def _cells(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
-    """Cell of each window in each sketch row, from separate bits of its two hashes."""
-    return [(h >> np.uint64(17)) & np.uint64(cells - 1) for h in hashes]
+def minimizers(hashed: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` words the smallest hash of the shorter runs in it (two thirds as
+    long). Equal runs have equal ones, and neighbours mostly share theirs, so a text has few."""
+    short = max(1, 2 * width // 3)
+    reach = width - short + 1
+    grams = window_hashes(hashed, short)
+    n = len(grams) - reach + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    # minima of each block of ``reach`` up to and from a place: two of them make any minimum
+    filled = np.concatenate([grams, np.full(-len(grams) % reach, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, reach)
+    upto = np.minimum.accumulate(filled, axis=1).ravel()
+    onward = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(onward[:n], upto[reach - 1 : reach - 1 + n])
+
+
+#: Multipliers that make the hash functions of the sketch's rows.
+_ROWS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _cells(values: np.ndarray, cells: int) -> list[np.ndarray]:
+    """Cell of each value in each sketch row."""
+    return [(mix(values * _ROWS[i] + np.uint64(i)) >> np.uint64(17)) & np.uint64(cells - 1) for i in range(DEPTH)]
+
+
+def _proofs(words: list[str], starts: np.ndarray, width: int) -> list[bytes]:
+    """A cryptographic digest of the words of each window: these, not their hashes, decide what is equal."""
+    if not len(starts):
+        return []
+    text = " ".join(words).encode("utf-8", "surrogatepass")
+    sizes = np.fromiter((len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words))
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    view = memoryview(text)
+    ends = (begin + sizes)[starts + width - 1]
+    return [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(begin[starts].tolist(), ends.tolist())]
 
 
 def sketch_blocks(rows: list[np.ndarray]) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -85,9 +118,12 @@ def _sketch(texts: DataFrame, width: int, cells: int, folder: str) -> None:
 
     def partial(batches):
         for _, words, counts in _chunks(batches):
-            at, _ = whole_windows(counts, width)
-            hashed = hash_words(words)
-            rows = _cells([window_hashes(hashed, width, i)[at] for i in range(DEPTH)], cells)
+            at, owner = whole_windows(counts, width)
+            low = minimizers(hash_words(words), width)[at]
+            # a run of windows with one minimizer counts once
+            first = np.ones(len(at), bool)
+            first[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+            rows = _cells(low[first], cells)
             made = list(sketch_blocks(rows))
             if made:
                 yield pa.RecordBatch.from_arrays(
@@ -138,13 +174,12 @@ def _read_sketch(folder: str, cells: int) -> list[np.ndarray]:
 
 
 def _maybe_repeated(texts: DataFrame, width: int, cells: int, folder: str) -> DataFrame:
-    """The windows that the sketch estimates to be repeated: doc, start, and a 128 bit hash."""
+    """The windows that the sketch estimates to be repeated: doc, start, and the digest of the words."""
     schema = T.StructType(
         [
             T.StructField("doc", texts.schema[0].dataType),
             T.StructField("start", T.IntegerType()),
-            T.StructField("h1", T.LongType()),
-            T.StructField("h2", T.LongType()),
+            T.StructField("proof", T.BinaryType()),
         ]
     )
 
@@ -154,21 +189,18 @@ def _maybe_repeated(texts: DataFrame, width: int, cells: int, folder: str) -> Da
             at, owner = whole_windows(counts, width)
             if not len(at):
                 continue
-            hashed = hash_words(words)
-            hashes = [window_hashes(hashed, width, i)[at] for i in range(DEPTH)]
             hit = np.ones(len(at), bool)
-            for bits, c in zip(sketch, _cells(hashes, cells)):
+            for bits, c in zip(sketch, _cells(minimizers(hash_words(words), width)[at], cells)):
                 hit &= (bits[c >> np.uint64(3)] >> (7 - (c & np.uint64(7))).astype(np.uint8)) & 1 > 0
             begin = np.cumsum(counts) - counts
             own = owner[hit]
-            keys = pa.array(ids).take(pa.array(own))
             yield pa.RecordBatch.from_arrays(
                 [
-                    keys,
+                    pa.array(ids).take(pa.array(own)),
                     pa.array((at[hit] - begin[own]).astype(np.int32)),
-                    *(pa.array(h[hit].view(np.int64)) for h in hashes),
+                    pa.array(_proofs(words, at[hit], width), pa.binary()),
                 ],
-                ["doc", "start", "h1", "h2"],
+                ["doc", "start", "proof"],
             )
 
     return texts.mapInArrow(find, schema)
@@ -180,10 +212,12 @@ def shared_spans(
     """How much of each record lies in spans of ``width`` words found in another one.
 
     Words are runs of non-white-space, compared exactly. First every task sketches
-    all its windows of ``width`` words into a count-min sketch; the partial sketches
-    are merged by block. A cell never counts less than its windows, so a
-    window that occurs twice is always kept by the second pass, which groups just
-    the kept windows by a 128-bit hash and keeps those of two different records.
+    all its windows of ``width`` words into a count-min sketch, each window by its minimizer, the
+    smallest hash of the runs of two thirds of the words in it; neighbouring windows that share it
+    count once. The partial sketches are merged by block. Equal windows have equal minimizers and a cell
+    never counts less than its values, so a window that stands in two texts is always kept by the
+    second pass, which groups just the kept windows by a cryptographic digest of their words and
+    keeps those of two different records.
 
     Columns: the key and ``shared_words`` (word positions covered by such windows);
     only records with ``shared_words`` > 0 come out.
@@ -193,7 +227,8 @@ def shared_spans(
     counts once. Records shorter than ``width`` words never share. Texts
     of any length are read whole. Other columns are not read.
 
-    The sketch has about two cells a word up to ``max_cells``; it lies in the shared
+    The sketch has about two cells for each expected minimizer (a fifth of a cell a word at the width of
+    60) up to ``max_cells``; it lies in the shared
     folder and each worker reads it, so nothing passes through the driver. Shuffled are the
     compressed sketch blocks and the windows estimated repeated. A window held by a third
     of all records is combined on the map side when it is grouped and
@@ -203,18 +238,20 @@ def shared_spans(
     ship(spark)
     texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    cells = min(max_cells, max(BLOCK, 1 << (2 * chars // _CHARS_A_WORD).bit_length()))
+    # of w windows in a row two in w + 1 begin a new minimizer
+    expected = chars // _CHARS_A_WORD * 2 // (width - max(1, 2 * width // 3) + 2)
+    cells = min(max_cells, max(BLOCK, 1 << (2 * expected).bit_length()))
     folder = f"{shared_dir(spark)}/sketch-{uuid.uuid4().hex}"
     _sketch(texts, width, cells, folder)
     windows = cut(_maybe_repeated(texts, width, cells, _reachable(spark, folder)))
     remove_path(spark, folder)
     repeated = cut(
-        windows.groupBy("h1", "h2")
+        windows.groupBy("proof")
         .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
         .where("low <> high")
-        .select("h1", "h2", "n")
+        .select("proof", "n")
     )
-    found = lookup_join(windows, repeated, ["h1", "h2"], "n", max_rows).select("doc", "start").distinct()
+    found = lookup_join(windows, repeated, ["proof"], "n", max_rows).select("doc", "start").distinct()
     following = F.lead("start").over(W.partitionBy("doc").orderBy("start"))
     covered = found.select("doc", F.least(F.lit(width), F.coalesce(following - F.col("start"), F.lit(width))).alias("words"))
     return covered.groupBy("doc").agg(F.sum("words").cast("bigint").alias("shared_words")).withColumnRenamed("doc", key)

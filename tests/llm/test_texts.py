@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civictally.llm import mixture, spans
+from civictally.llm.grams import window_hashes
 from civictally.llm.leakage import find_leaks, local_alignment
 from civictally.llm.mixture import encoder, mix_sources, pack_blocks, permuted
 from civictally.llm.spans import shared_spans
@@ -88,6 +89,27 @@ def test_spans(spark, monkeypatch, max_rows, max_cells, chunk):
     assert shared_spans(df.where("false"), "doc_id", "text", 12).count() == 0
 
 
+def test_spans_when_all_word_hashes_collide(spark, monkeypatch):
+    """Hashes only decide what is looked at; words decide what is equal."""
+    monkeypatch.setattr(spans, "hash_words", lambda words: np.full(len(words), 7, np.uint64))
+    rng = random.Random(8)
+    docs = [(i, text(rng, 30)) for i in range(30)]
+    docs += [(100, docs[3][1] + " " + text(rng, 9)), (101, "ä " + docs[4][1] + " é"), (102, docs[5][1].replace(" ", "  "))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.shared_words for r in shared_spans(df, "doc_id", "text", 12).collect()}
+    assert got == brute(docs, 12) and got
+
+
+def test_minimizers():
+    rng = np.random.default_rng(2)
+    for n, width in ((5, 6), (6, 6), (50, 6), (61, 1), (200, 60), (300, 7)):
+        words = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        short = max(1, 2 * width // 3)
+        grams = window_hashes(words, short)
+        want = [min(grams[i : i + width - short + 1].tolist()) for i in range(n - width + 1)]
+        assert spans.minimizers(words, width).tolist() == want
+
+
 def test_sketch_fetched_where_arrow_cannot_open_it(spark, monkeypatch):
     def unknown(folder):
         raise OSError("unknown file system")
@@ -130,7 +152,40 @@ def test_packing_is_a_round_trip(spark, max_rows):
         assert [r.block for r in own] == list(range(len(own))) and {len(r.tokens) for r in own[:-1]} == {64}
         want = sorted(t for x, t in docs if x == s and t)
         # a text may be cut at the end of a block and of a task, but no token is lost or doubled
-        assert sorted(t for r in own for t in r.tokens) == sorted(x for t in want for x in enc.encode_ordinary(t))
+        got = [t for r in own for t in r.tokens]
+        assert sorted(got) == sorted(x for t in want for x in [*enc.encode_ordinary(t), mixture.SEPARATOR])
+        assert got.count(mixture.SEPARATOR) == len(want) and got[-1] == mixture.SEPARATOR
+
+
+@tokenizer
+def test_every_text_end_is_found(spark):
+    rng = random.Random(16)
+    docs = [("a", text(rng, rng.randrange(1, 80))) for _ in range(100)]
+    df = spark.createDataFrame(docs, "source string, text string").coalesce(1)
+    blocks = sorted(pack_blocks(df, "source", "text", length=64).collect(), key=lambda r: r.block)
+    whole, enc = [t for r in blocks for t in r.tokens], encoder(mixture.TOKENIZER)
+    ends = [-1] + [i for i, t in enumerate(whole) if t == mixture.SEPARATOR]
+    assert [enc.decode(whole[a + 1 : b]) for a, b in zip(ends, ends[1:])] == [t for _, t in docs]
+
+
+@tokenizer
+def test_draws_of_a_used_up_source_go_to_the_others(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "RANGE", 3)
+    rng = random.Random(17)
+    docs = [(s, text(rng, 100)) for s, n in (("big", 300), ("mid", 200), ("one", 1)) for _ in range(n)]
+    df = spark.createDataFrame(docs, "source string, text string")
+    targets = spark.createDataFrame([("big", 0.3, 2), ("mid", 0.2, 1), ("one", 0.5, 2)], "source string, target_share double, max_repeats int")
+    blocks = {r.source: r["count"] for r in pack_blocks(df, "source", "text", length=32).groupBy("source").count().collect()}
+    for total in (None, (blocks["big"] + blocks["mid"]) * 32, 10**7):
+        mixed, report = mix_sources(df, "source", "text", targets, total_tokens=total, length=32, shard_slots=50)
+        rows = mixed.collect()
+        assert len({(r.source, r.block, r.use) for r in rows}) == len(rows) == len({(r.shard, r.slot) for r in rows})
+        uses = {r.source: r.most_uses for r in report.collect()}
+        assert uses["big"] <= 2 and uses["mid"] == 1 and uses["one"] == 2
+        limit = 2 * blocks["big"] + blocks["mid"] + 2 * blocks["one"]
+        want = limit if total == 10**7 else blocks["big"] + blocks["mid"]
+        # a source of a few blocks neither shrinks the mixture nor leaves its slots empty
+        assert len(rows) == want if total else len(rows) > 100
 
 
 @tokenizer
