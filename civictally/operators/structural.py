@@ -23,7 +23,8 @@ def index_records(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     overlap. The parity of the quotes before a byte within its record tells
     whether it lies inside quotes; commas outside quotes delimit. Returns whether
     each record is quoted properly, its number of fields, all field values laid
-    end to end without delimiters and quotes, and the offsets of the fields.
+    end to end without delimiters and quotes, the offsets of the fields, and
+    whether a record is spoilt by a quote in the middle of a field (not by a missing end).
     """
     n = len(start)
     size = len(data)
@@ -55,6 +56,7 @@ def index_records(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     wrong = (opening & ~first[:size] & ~after_quote) | (closing & ~last & ~follows)
     bad = np.zeros(n, bool)
     bad[record[wrong]] = True
+    spoilt = bad.copy()
     if n:
         bad |= ((before[end] - base) & 1).astype(bool)
     # kept bytes: no delimiters, no enclosing quotes, one of each doubled pair
@@ -66,11 +68,12 @@ def index_records(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     # fields start at each record's start and after each delimiter
     field_start = np.sort(np.concatenate([start, at + 1]))
     offsets = np.append(kept[field_start], kept[size])
-    return ~bad, delimiters + 1, data[keep], offsets
+    return ~bad, delimiters + 1, data[keep], offsets, spoilt
 
 
-def _index_batch(lines: pa.Array) -> pa.Array:
-    """Struct of ``well_quoted`` and ``fields`` for an array of records."""
+def line_buffer(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of an array of records, and where each begins and ends, less one trailing
+    carriage return."""
     if isinstance(lines, pa.ChunkedArray):
         lines = lines.combine_chunks()
     lines = lines.cast(pa.large_binary()).fill_null(b"")
@@ -81,7 +84,13 @@ def _index_batch(lines: pa.Array) -> pa.Array:
     start, end = offsets[:-1], offsets[1:].copy()
     filled = end > start
     end[filled] -= data[end[filled] - 1] == RETURN
-    ok, counts, values, ends = index_records(data, start, end)
+    return data, start, end
+
+
+def _index_batch(lines: pa.Array) -> pa.Array:
+    """Struct of ``well_quoted`` and ``fields`` for an array of records."""
+    data, start, end = line_buffer(lines)
+    ok, counts, values, ends, _ = index_records(data, start, end)
     text = pa.Array.from_buffers(
         pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]
     )

@@ -8,29 +8,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civictally.sources import schemas
+from civictally.sources.records import read_csv
 
 
-def _csv(spark: SparkSession, path: str | list[str], names: tuple[str, ...], order: str) -> DataFrame:
-    """All columns as text. Quoted line breaks force one task a file, so a large export
-    should come as many files; ``order`` keeps the order of rows within and across them."""
-    return (
-        spark.read.schema(schemas.strings(*names))
-        .options(header=True, multiLine=True, escape='"', enforceSchema=True)
-        .csv(path)
-        .withColumn(order, F.monotonically_increasing_id())
-    )
+def read_contributions(spark: SparkSession, path: str | list[str], order: str = "seq") -> DataFrame:
+    """An export with header, byte-order mark and quoting; names in lower snake case, all columns as text.
+    Records that are no rows are left out: see ``rejected_contributions``."""
+    return _contributions(spark, path, order)[0]
 
 
-def read_contributions(spark: SparkSession, path: str | list[str], order: str = "seq") -> DataFrame:
-    """An export with header, byte-order mark and quoting; names in lower snake case."""
-    df = _csv(spark, path, schemas.CONTRIBUTION_HEADERS, order)
-    return df.select(order, *[F.col(f"`{h}`").alias(h.lower().replace(" ", "_")) for h in schemas.CONTRIBUTION_HEADERS])
+def rejected_contributions(spark: SparkSession, path: str | list[str], order: str = "seq") -> DataFrame:
+    """The records of an export that cannot be read: their place, text and the reason."""
+    return _contributions(spark, path, order)[1]
+
+
+def _contributions(spark: SparkSession, path: str | list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    return read_csv(spark, path, tuple(h.lower().replace(" ", "_") for h in schemas.CONTRIBUTION_HEADERS), order)
 
 
 def read_statements(spark: SparkSession, path: str, order: str = "seq") -> DataFrame:
     """Filings; a missing file is an empty table."""
     try:
-        return _csv(spark, path, schemas.STATEMENT_COLUMNS, order)
+        return read_csv(spark, path, schemas.STATEMENT_COLUMNS, order)[0]
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
