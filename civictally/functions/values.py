@@ -36,9 +36,11 @@ def is_valid_date(x: Column | str) -> Column:
 
 
 def is_valid_amount(x: Column | str) -> Column:
-    """A finite number; negatives are corrections and stand."""
-    c = _c(x).cast("double")
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    """A finite number; negatives are corrections and stand. Texts and booleans are no
+    numbers, whatever they say."""
+    number = F.typeof(_c(x)).rlike("^(?:tinyint|smallint|int|bigint|float|double|decimal.*)$")
+    c = _c(x).cast("string").try_cast("double")
+    return number & F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
 
 
 def is_valid_record_id(x: Column | str) -> Column:

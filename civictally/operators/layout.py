@@ -53,9 +53,25 @@ def squarify(areas: list[float], width: float, height: float) -> list[tuple[floa
     return out
 
 
-def treemap(donors: DataFrame, width: float = 800.0, height: float = 440.0) -> DataFrame:
+# Share of the width that is the height, its bounds, the gap between tiles and their least side,
+# and what a tile must exceed to carry a label.
+RATIO, LOWEST, HIGHEST, NARROWEST = 0.55, 320.0, 560.0, 640.0
+GAP, LEAST, LABEL = 2.0, 1.0, (46.0, 26.0)
+
+
+def box(width: float | None) -> tuple[float, float]:
+    """L3: width and height of the drawing for a container's width, which may not be known."""
+    wide = width or NARROWEST
+    return wide, max(LOWEST, min(HIGHEST, wide * RATIO))
+
+
+def treemap(donors: DataFrame, width: float | None = 800.0, height: float | None = None) -> DataFrame:
     """L2, L3: tiles of the ranked donors with a positive total: ``official_id``, ``donor_rank``,
-    x, y, w, h and whether the tile is large enough for a label. Ranked donors are a bounded number an official."""
+    x, y, w, h, the drawn sides ``shown_w`` and ``shown_h`` (less the gap, a pixel at least) and whether
+    the tile is large enough for a label. Without a height it follows from the width. Ranked
+    donors are a bounded number an official."""
+    wide, high = box(width)
+    width, height = wide, height or high
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -64,10 +80,11 @@ def treemap(donors: DataFrame, width: float = 800.0, height: float = 440.0) -> D
                 sizes = sorted(((d["size"], d["donor_rank"]) for d in donors), key=lambda d: (-d[0], d[1]))
                 scale = width * height / sum(s for s, _ in sizes)
                 tiles = squarify([s * scale for s, _ in sizes], width, height)
-                out += [(key, rank, *t, t[2] > 46 and t[3] > 26) for (_, rank), t in zip(sizes, tiles)]
-            yield pd.DataFrame(out, columns=["official_id", "donor_rank", "x", "y", "w", "h", "labelled"])
+                shown = lambda t: (max(t[2] - GAP, LEAST), max(t[3] - GAP, LEAST), t[2] > LABEL[0] and t[3] > LABEL[1])
+                out += [(key, rank, *t, *shown(t)) for (_, rank), t in zip(sizes, tiles)]
+            yield pd.DataFrame(out, columns=["official_id", "donor_rank", "x", "y", "w", "h", "shown_w", "shown_h", "labelled"])
 
     ship(donors.sparkSession)
     rows = donors.where("total > 0").selectExpr("official_id", "donor_rank", "greatest(cast(total as double), 0.01D) as size")
     lists = rows.groupBy("official_id").agg(F.collect_list(F.struct("size", "donor_rank")).alias("donors"))
-    return lists.mapInPandas(run, "official_id string, donor_rank int, x double, y double, w double, h double, labelled boolean")
+    return lists.mapInPandas(run, "official_id string, donor_rank int, x double, y double, w double, h double, shown_w double, shown_h double, labelled boolean")

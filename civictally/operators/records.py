@@ -32,8 +32,9 @@ def provenance(
     )
 
 
-def enrich_contributions(gifts: DataFrame, name: str, url: str, retrieved_at: str, methodology: str) -> DataFrame:
-    """Each gift with the provenance of its filing; ``source_url`` comes from attach_filings."""
+def enrich_contributions(gifts: DataFrame, name: str, url: str | None, retrieved_at: str, methodology: str) -> DataFrame:
+    """Each gift with the provenance of its filing; ``source_url`` comes from attach_filings,
+    ``url`` stands for it where a gift has none (None: nothing does)."""
     return gifts.withColumn(
         "provenance",
         provenance(

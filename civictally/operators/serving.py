@@ -41,6 +41,25 @@ def sorted_donors(donors: DataFrame, key: str, direction: str, donor_kind: str =
     return kept.withColumn("place", F.row_number().over(order))
 
 
+def every_order(donors: DataFrame) -> DataFrame:
+    """The place of each donor in every order of the table: ``sort_key``, ``direction``, ``place``.
+
+    One pass over the ranked donors, a bounded number for each official: their keys are exploded, and places are
+    given within an official and key by a text that sorts as the key does, numbers filled with zeros."""
+    # money to the cent and counts as numbers of one width; those below zero are counted from the other end
+    far = F.lit(10**18).cast("decimal(20,0)")
+    digits = lambda c: F.lpad((c.cast("decimal(18,2)") * 100 + far).cast("decimal(20,0)").cast("string"), 20, "0")
+    values = [F.struct(F.lit(k).alias("sort_key"), (digits(sort_key(k)) if k in ("count", "total") else sort_key(k)).alias("value")) for k in SORT_DEFAULTS]
+    rows = donors.select("official_id", "donor_rank", F.explode(F.array(*values)).alias("s")).select("official_id", "donor_rank", "s.*")
+    places = []
+    for direction in ("asc", "desc"):
+        value = F.col("value").asc() if direction == "asc" else F.col("value").desc()
+        places.append(F.struct(F.lit(direction).alias("direction"), F.row_number().over(W.partitionBy("official_id", "sort_key").orderBy(value, "donor_rank")).alias("place")))
+    return rows.select("official_id", "donor_rank", "sort_key", F.array(*places).alias("p")).select("official_id", "donor_rank", "sort_key", F.explode("p").alias("p")).select(
+        "sort_key", "p.direction", "official_id", "donor_rank", "p.place"
+    )
+
+
 def type_histogram(donors: DataFrame, known: tuple[str, ...] = KNOWN_TYPES) -> DataFrame:
     """A10: donors by type for each official, known types also with none, and all together."""
     counted = donors.groupBy("official_id", "donor_type").agg(F.count("*").alias("donors"))

@@ -1,6 +1,7 @@
 """From exported files to published documents, and the check of what is published.
 
     python -m civictally.plans.build build ROOT [--official ID ...] [--contributions CSV] [--statements CSV]
+        [--service URL --service-statements URL [--cache-only]] [--markdown FILE]
     python -m civictally.plans.build validate ROOT
 
 One plan covers all officials; the driver handles one small document an official at a time.
@@ -10,20 +11,23 @@ from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civictally.functions.values import parse_amount, parse_date
 from civictally.operators import donors as D
 from civictally.operators import quality as Q
 from civictally.operators.publish import gate, plain, report_markdown, write_json
-from civictally.operators.records import enrich_items, provenance
+from civictally.operators.records import enrich_contributions, enrich_items
 from civictally.session import cut, local_session
-from civictally.sources import documents, files
+from civictally.sources import documents, files, schemas
+from civictally.sources.paged import read_paged
 
 
 @dataclass
@@ -63,10 +67,8 @@ def _funding(spark: SparkSession, cfg: Config, today: str, officials: DataFrame,
     top = cut(D.donor_rollup(gifts, "seq", cfg.top))
     kept = D.attach_filings(D.donor_contributions(gifts, top, "seq", rows), D.filing_links(statements, "seq"))
     found = Q.problems(kept, "funding", Q.gift_rules(cfg.allowed_hosts)).select("official_id", "builder", "detail").distinct()
-    made = provenance(
-        F.lit(cfg.source_name), F.col("source_url"), F.lit(today), cfg.methodology, (_dated("period_beg_date"), _dated("period_end_date")), record_id=F.nullif(F.trim("committee_id"), F.lit(""))
-    )
-    gift = F.struct("place", _dated("contribution_date").alias("date"), "amount", "source_url", made.alias("provenance"))
+    kept = enrich_contributions(kept, cfg.source_name, None, today, cfg.methodology)
+    gift = F.struct("place", _dated("contribution_date").alias("date"), "amount", "source_url", "provenance")
     lists = kept.groupBy("official_id", "donor").agg(F.transform(F.array_sort(F.collect_list(gift)), lambda g: g.dropFields("place")).alias("contributions"))
     donor = F.struct("donor_rank", F.col("donor").alias("name"), F.col("donor_type").alias("type"), "total", "employer", "contributions")
     nested = top.join(lists, ["official_id", "donor"]).groupBy("official_id").agg(F.transform(F.array_sort(F.collect_list(donor)), lambda d: d.dropFields("donor_rank")).alias("donors"))
@@ -130,6 +132,21 @@ def _publish(docs: DataFrame, found: DataFrame, shape: dict, folder: Path, name:
     return sizes, wrong
 
 
+class SourceUnavailable(Exception):
+    """Neither a source nor an earlier copy of it could be read."""
+
+
+def from_service(spark: SparkSession, cfg: Config, contributions: str, statements: str, cache_only: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Contributions and filings of the paged service, landed under data/raw/service. Where the
+    service fails the last landed copy serves; with ``cache_only`` it is not called at all."""
+    folder = cfg.root / "data/raw/service"
+    names = {"contributions": (contributions, tuple(schemas.SERVICE_FIELDS.values())), "statements": (statements, schemas.STATEMENT_COLUMNS)}
+    try:
+        return tuple(read_paged(spark, url, schemas.strings(*columns), str(folder / name), cache_only, **options) for name, (url, columns) in names.items())
+    except Exception as e:
+        raise SourceUnavailable(str(e).splitlines()[0]) from e
+
+
 def build(
     spark: SparkSession,
     cfg: Config,
@@ -138,72 +155,120 @@ def build(
     statements: str | None = None,
     chosen: list[str] | None = None,
     skip_freshness: bool = False,
-    service_rows: DataFrame | None = None,
-    service_statements: DataFrame | None = None,
+    service: Callable[[], tuple[DataFrame, DataFrame]] | None = None,
     markdown: str | Path | None = None,
 ) -> dict:
-    """Build all (or the chosen) officials; the report, which is also written.
+    """Build all (or the chosen) officials; the report, which is also written, whatever happens.
 
     Officials fail each for themselves: one with problems keeps its earlier documents.
-    A cross-reference problem is fatal and builds nothing. Missing exports skip the funding
-    of all. Rows of the paged service may be given instead of files. ``markdown`` is a file
-    for the report as text.
+    A cross-reference problem is fatal and builds nothing. A source that is not there (no exports, or a
+    service that fails without an earlier copy) is reported as unavailable and skips the funding of all.
+    Records of an export that are no rows are written to data/rejects, and their number is reported. An
+    error of any stage becomes a fatal one and is raised again once the report is written.
+    ``service`` gives the rows of the paged service (see from_service) instead of files. ``markdown`` is a
+    file for the report as text.
     """
-    started = datetime.now(timezone.utc).isoformat(timespec="seconds")
-    today = today or date.today().isoformat()
-    everyone = files.read_officials(spark, str(cfg.officials)).select("ord", F.col("id").alias("official_id"), "name", "office")
-    registry = files.read_registry(spark, str(cfg.registry))
-    report = {"started_at": started, "results": [], "unavailable_sources": [], "fatal_errors": []}
-    # one short line for each mismatch of two configuration files
-    report["fatal_errors"] = [f"official '{r.official_id}': {r.problem}" for r in Q.cross_reference(everyone, registry).orderBy("problem", "official_id").collect()]
-    fresh = {}
-    if not report["fatal_errors"]:
-        officials = everyone.where(F.col("official_id").isin(chosen)) if chosen else everyone
-        ids = [r.official_id for r in officials.orderBy("ord").collect()]
-        csv = contributions or str(cfg.root / "data/raw/contributions.csv")
-        results = {}
-        if service_rows is None and not Path(csv).exists():
-            report["unavailable_sources"].append(f"funding: no contributions at {csv}; skipped for all officials")
-            results["funding"] = ({}, [], {}, False)
-        else:
-            if service_rows is not None:
-                rows = files.from_service(service_rows).withColumn("seq", F.monotonically_increasing_id())
-                filed = service_statements.withColumn("seq", F.monotonically_increasing_id())
-            else:
-                rows = files.read_contributions(spark, csv)
-                filed = files.read_statements(spark, statements or str(cfg.root / "data/raw/statements_filed.csv"))
-            results["funding"] = (*_run("funding", cfg, *_funding(spark, cfg, today, officials, registry, rows, filed)), True)
-        results["record"] = (*_run("record", cfg, *_records(spark, cfg, today, officials, registry)), True)
-        for key in ids:
-            fresh[key] = {}
-            for builder, count in (("funding", "donor_count"), ("record", "item_count")):
-                sizes, wrong, notes, available = results[builder]
-                own = [p for k, b, p in wrong if k == key]
-                status = "skipped" if not available else "failed" if own else "ok"
-                n = sizes.get(key, 0)
-                report["results"].append({"official_id": key, "builder": builder, "status": status, "record_count": n, "problems": own, "source_notes": notes.get(key, [])})
-                fresh[key][builder] = {"status": status, "last_success_at": today if status == "ok" else None, count: n}
+    report = {"started_at": _now(), "results": [], "unavailable_sources": [], "fatal_errors": []}
+    fresh: dict = {}
+    try:
+        _build(spark, cfg, today or date.today().isoformat(), contributions, statements, chosen, service, report, fresh)
+    except Exception as e:
+        report["fatal_errors"].append(f"{type(e).__name__}: {(str(e).splitlines() or [''])[0]}")
+        raise
+    finally:
+        _report(spark, cfg, report, None if skip_freshness else fresh, markdown)
+    return report
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+
+
+def _report(spark: SparkSession, cfg: Config, report: dict, fresh: dict | None, markdown: str | Path | None) -> None:
     by = [r["status"] for r in report["results"]]
     report["ok"] = not report["fatal_errors"] and "failed" not in by
     report["summary"] = f"{by.count('ok')} builder run(s) ok, {by.count('failed')} failed, {by.count('skipped')} skipped, {len(report['unavailable_sources'])} source(s) unavailable"
-    report["finished_at"] = datetime.now(timezone.utc).isoformat(timespec="seconds")
+    report["finished_at"] = _now()
     write_json(cfg.root / "data/build_report.json", report)
     if markdown:
         status = [(r["official_id"], r["builder"], r["status"], r["record_count"]) for r in report["results"]]
         said = [(r["official_id"], r["builder"], p) for r in report["results"] for p in r["problems"]]
         tables = spark.createDataFrame(status, "official_id string, builder string, status string, records int"), spark.createDataFrame(said, "official_id string, builder string, detail string")
         Path(markdown).write_text(report_markdown(*tables, report["unavailable_sources"], report["fatal_errors"]) + "\n")
-    if fresh and not skip_freshness:
+    if fresh:
         write_json(cfg.root / "data/freshness.json", {"generated_at": report["finished_at"], "officials": fresh})
-    return report
+
+
+def _sources(spark: SparkSession, cfg: Config, contributions: str | None, statements: str | None, service, report: dict) -> tuple[DataFrame, DataFrame] | None:
+    """Contributions and filings, or None where they are unavailable, which the report then says."""
+    said = report["unavailable_sources"]
+    if service is not None:
+        try:
+            rows, filed = service()
+        except SourceUnavailable as e:
+            said.append(f"funding: the service failed and there is no earlier copy: {e}")
+            return None
+        return tuple(x.withColumn("seq", F.monotonically_increasing_id()) for x in (files.from_service(rows), filed))
+    csv = contributions or str(cfg.root / "data/raw/contributions.csv")
+    if not Path(csv).exists():
+        said.append(f"funding: no contributions at {csv}; skipped for all officials")
+        return None
+    rejects = cut(files.rejected_contributions(spark, csv))
+    # one row a reason
+    wrong = {r.reason: r.n for r in rejects.groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason").collect()}
+    if wrong:
+        folder = cfg.root / "data/rejects/contributions"
+        rejects.write.mode("overwrite").json(str(folder))
+        said.append(f"funding: records of {csv} that are no rows: " + ", ".join(f"{n} {reason}" for reason, n in wrong.items()) + f"; see {folder}")
+    return files.read_contributions(spark, csv), files.read_statements(spark, statements or str(cfg.root / "data/raw/statements_filed.csv"))
+
+
+def _build(spark: SparkSession, cfg: Config, today: str, contributions: str | None, statements: str | None, chosen: list[str] | None, service, report: dict, fresh: dict) -> None:
+    everyone = files.read_officials(spark, str(cfg.officials)).select("ord", F.col("id").alias("official_id"), "name", "office")
+    registry = files.read_registry(spark, str(cfg.registry))
+    # one short line for each mismatch of two configuration files
+    report["fatal_errors"] += [f"official '{r.official_id}': {r.problem}" for r in Q.cross_reference(everyone, registry).orderBy("problem", "official_id").collect()]
+    if report["fatal_errors"]:
+        return
+    officials = everyone.where(F.col("official_id").isin(chosen)) if chosen else everyone
+    results = {"funding": ({}, {}, {}, False)}
+    found = _sources(spark, cfg, contributions, statements, service, report)
+    if found:
+        # of all the rows only those of the officials that are built
+        own = registry.join(officials.select("official_id"), "official_id", "left_semi")
+        results["funding"] = (*_run("funding", cfg, *_funding(spark, cfg, today, officials, own if chosen else registry, *found)), True)
+    results["record"] = (*_run("record", cfg, *_records(spark, cfg, today, officials, registry)), True)
+    for r in officials.orderBy("ord").toLocalIterator():
+        fresh[r.official_id] = {}
+        for builder, count in (("funding", "donor_count"), ("record", "item_count")):
+            sizes, wrong, notes, available = results[builder]
+            own = wrong.get(r.official_id, [])
+            status = "skipped" if not available else "failed" if own else "ok"
+            n = sizes.get(r.official_id, 0)
+            report["results"].append({"official_id": r.official_id, "builder": builder, "status": status, "record_count": n, "problems": own, "source_notes": notes.get(r.official_id, [])})
+            fresh[r.official_id][builder] = {"status": status, "last_success_at": today if status == "ok" else None, count: n}
+
+
+#: Problems of one official that the report spells out; their number is always said.
+SPELT = 100
 
 
 def _run(builder: str, cfg: Config, docs: DataFrame, found: DataFrame, notes: DataFrame):
+    """Sizes, problems and notes by official. Problems are counted and cut to SPELT an official in Spark."""
     shape = documents.FUNDING if builder == "funding" else documents.RECORD
     found = cut(found)
     sizes, wrong = _publish(docs, found, shape, cfg.root / "data/officials", f"{builder}.json", builder, builder == "record")
-    # problems go into the report, so they are read one by one
-    listed = [(r.official_id, r.builder, r.detail) for r in found.orderBy("official_id", "detail").toLocalIterator()] + wrong
+    listed: dict[str, list[str]] = {}
+    # a null text sorts first, as elsewhere
+    ranked = found.withColumn("r", F.row_number().over(W.partitionBy("official_id").orderBy("detail"))).where(F.col("r") <= SPELT)
+    counts = found.groupBy("official_id").agg(F.count("*").alias("n"))
+    for r in ranked.join(counts, "official_id").orderBy("official_id", "r").toLocalIterator():
+        own = listed.setdefault(r.official_id, [])
+        own.append(r.detail)
+        if r.r == SPELT < r.n:
+            own.append(f"and {r.n - SPELT} more")
+    for key, _, p in wrong:
+        listed.setdefault(key, []).append(p)
     said: dict[str, list[str]] = {}
     for r in notes.orderBy("official_id").toLocalIterator():
         said.setdefault(r.official_id, []).append(r.note)
@@ -253,13 +318,18 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--official", action="append")
     parser.add_argument("--contributions")
     parser.add_argument("--statements")
+    parser.add_argument("--service", help="address of the service's contributions")
+    parser.add_argument("--service-statements", help="address of the service's filings")
+    parser.add_argument("--cache-only", action="store_true", help="read what was landed before and do not call the service")
     parser.add_argument("--skip-freshness", action="store_true")
     parser.add_argument("--markdown", type=Path)
     parser.add_argument("--json", action="store_true")
     given = parser.parse_args(args)
     spark, cfg = local_session(), Config(given.root)
     if given.what == "build":
-        report = build(spark, cfg, None, given.contributions, given.statements, given.official, given.skip_freshness, markdown=given.markdown)
+        called = given.service or given.cache_only
+        service = (lambda: from_service(spark, cfg, given.service, given.service_statements, given.cache_only)) if called else None
+        report = build(spark, cfg, None, given.contributions, given.statements, given.official, given.skip_freshness, service, given.markdown)
         print(json.dumps(report, indent=2) if given.json else report["summary"])
         return 0 if report["ok"] else 1
     found = validate(spark, cfg)

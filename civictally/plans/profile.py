@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civictally.functions.text import display_name, party_label, type_label
@@ -115,10 +116,15 @@ def reelection_status(spark, d):
 
 @query(
     "source_gap_note",
-    f"WITH {LOOKUP}, {MATCHED} SELECT official_id FROM matched GROUP BY 1 HAVING bool_and(contrib_occupation IS NULL AND contrib_employer IS NULL)",
+    f"""WITH {LOOKUP}, {MATCHED} SELECT 'export' AS form, official_id FROM matched GROUP BY official_id HAVING bool_and(contrib_occupation IS NULL AND contrib_employer IS NULL)
+    UNION ALL SELECT DISTINCT 'service', official_id FROM matched""",
 )
 def source_gap_note(spark, d):
-    return D.source_gap(matched(spark, d))
+    """F13 for the rows as exported, and as the service gives them, which names no occupation or employer."""
+    rows = matched(spark, d)
+    served = rows.withColumns({c: F.lit(None).cast("string") for c in ("contrib_occupation", "contrib_employer")})
+    found = [D.source_gap(x).select(F.lit(form).alias("form"), "official_id") for form, x in (("export", rows), ("service", served))]
+    return found[0].unionByName(found[1])
 
 
 @query(
@@ -196,6 +202,8 @@ _ORDERS = {
     "employer": "lower(coalesce(employer, ''))",
     "latest": "coalesce(latest_date::VARCHAR, '')",
     "count": "gifts",
+    "type": "lower(coalesce(donor_type, ''))",
+    "total": "total",
 }
 
 
@@ -203,17 +211,13 @@ _ORDERS = {
     "sort_by_key_stable",
     TOP
     + " UNION ALL ".join(
-        f"SELECT '{k}' AS sort_key, official_id, donor_rank::INT AS donor_rank, row_number() OVER (PARTITION BY official_id ORDER BY {x} {S.SORT_DEFAULTS[k]}, donor_rank)::INT AS place FROM top"
+        f"SELECT '{k}' AS sort_key, '{direction}' AS direction, official_id, donor_rank::INT AS donor_rank, row_number() OVER (PARTITION BY official_id ORDER BY {x} {direction}, donor_rank)::INT AS place FROM top"
         for k, x in _ORDERS.items()
+        for direction in ("asc", "desc")
     ),
 )
 def sort_by_key_stable(spark, d):
-    rows = top(spark, d)
-    parts = [S.sorted_donors(rows, k, S.SORT_DEFAULTS[k]).select(F.lit(k).alias("sort_key"), "official_id", "donor_rank", "place") for k in _ORDERS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return S.every_order(top(spark, d))
 
 
 @query(
@@ -226,10 +230,27 @@ def share_of_total(spark, d):
 
 @query("treemap_layout")
 def treemap_layout(spark, d):
-    """Sequential by nature: tested by its invariants."""
+    """Sequential by nature: tested by its invariants, see ``treemap_areas``."""
     return treemap(top(spark, d))
 
 
+@query(
+    "treemap_areas",
+    TOP
+    + """, sized AS (SELECT *, greatest(total, 0.01)::DOUBLE AS size FROM top WHERE total > 0)
+    SELECT official_id, donor_rank::INT AS donor_rank, round(size / sum(size) OVER (PARTITION BY official_id) * 800 * 440, 3) AS area, true AS inside,
+        row_number() OVER (PARTITION BY official_id ORDER BY size DESC, donor_rank)::INT AS place, count(*) OVER (PARTITION BY official_id) AS tiles FROM sized""",
+)
+def treemap_areas(spark, d):
+    """Each tile's area is its donor's share of the drawing, tiles lie within it and come largest first."""
+    tiles = treemap(top(spark, d))
+    edge = 1e-6
+    inside = (F.col("x") >= -edge) & (F.col("y") >= -edge) & (F.col("x") + F.col("w") <= 800 + edge) & (F.col("y") + F.col("h") <= 440 + edge)
+    own = W.partitionBy("official_id")
+    place = F.row_number().over(own.orderBy(F.round(F.col("w") * F.col("h"), 6).desc(), "donor_rank")).alias("place")
+    return tiles.select("official_id", "donor_rank", F.round(F.col("w") * F.col("h"), 3).alias("area"), inside.alias("inside"), place, F.count("*").over(own).alias("tiles"))
+
+
 @query(
     "donor_table",
     TOP

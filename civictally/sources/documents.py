@@ -1,4 +1,6 @@
-"""Shapes of the configuration and published documents, in the subset of JSON Schema that is checked."""
+"""Shapes of the configuration and published documents, in the subset of JSON Schema that is checked.
+
+Fixed values: the names of fields and the allowed words below are those of the published documents."""
 
 from __future__ import annotations
 

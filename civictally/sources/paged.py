@@ -81,6 +81,14 @@ class PagedSource(DataSource):
         return PagedReader(schema, dict(self.options))
 
 
+def _landed(spark: SparkSession, schema: StructType, landed: str) -> DataFrame:
+    """The landed copy; where a run ended while it was replaced, the one put aside."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(landed).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lost = not fs.exists(path(landed)) and fs.exists(path(f"{landed}.before"))
+    return spark.read.schema(schema).parquet(f"{landed}.before" if lost else landed)
+
+
 def read_paged(spark: SparkSession, url: str, schema: StructType, landed: str | None = None, landed_only: bool = False, **options) -> DataFrame:
     """Rows of the service, all columns as text.
 
@@ -89,7 +97,7 @@ def read_paged(spark: SparkSession, url: str, schema: StructType, landed: str |
     the service and fails if there is no copy.
     """
     if landed_only:
-        return spark.read.schema(schema).parquet(landed)
+        return _landed(spark, schema, landed)
     ship(spark)
     spark.dataSource.register(PagedSource)
     live = spark.read.format("paged_json").schema(schema).options(url=url, **options).load()
@@ -98,9 +106,14 @@ def read_paged(spark: SparkSession, url: str, schema: StructType, landed: str |
     try:
         live.write.mode("overwrite").parquet(f"{landed}.next")
     except PySparkException:
-        return spark.read.schema(schema).parquet(landed)
+        return _landed(spark, schema, landed)
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(landed).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path(landed), True)
+    # the earlier copy is put aside until the new one is in its place
+    aside = path(f"{landed}.before")
+    fs.delete(aside, True)
+    if fs.exists(path(landed)):
+        fs.rename(path(landed), aside)
     fs.rename(path(f"{landed}.next"), path(landed))
+    fs.delete(aside, True)
     return spark.read.schema(schema).parquet(landed)
