@@ -11,7 +11,7 @@ from civictally.operators import requests as R
 from civictally.operators.donors import DONOR_TYPES
 from civictally.operators.limits import cooldown, rate_limit
 from civictally.operators.publish import gate, report_lines
-from civictally.operators.records import enrich_items, record_filter
+from civictally.operators.records import enrich_items, record_filter, term_items
 from civictally.plans.profile import GIFTS, LOOKUP, MATCHED, clean_sql, gifts, strip_sql
 from civictally.plans.registry import query, table
 from civictally.sources.files import link_text, request_body
@@ -412,3 +412,52 @@ def question_context(spark, d):
 def refresh_due(spark, d):
     """T-8."""
     return table(spark, d, "events").select("event_id", V.refresh_due(F.col("ts").cast("timestamp"), "America/Chicago").alias("due"))
+
+
+_ITEM_PROBLEMS = """SELECT o_custkey::VARCHAR AS official_id, rule, count(*) AS problems FROM (
+    SELECT o_custkey, unnest(list_filter([CASE WHEN o_orderkey % 4 = 3 THEN 'record_id' END, CASE WHEN o_orderkey % 5 = 0 THEN 'date' END,
+        CASE WHEN o_orderkey % 4 < 2 THEN 'url' END], lambda x: x IS NOT NULL)) AS rule FROM orders) GROUP BY ALL"""
+
+
+@query("item_problems", _ITEM_PROBLEMS)
+def item_problems(spark, d):
+    """V4 on record items: bad numbers, days that are none, pages outside the allowed hosts."""
+    owners = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("official_id"))
+    rows = _items(spark, d).withColumn("date", F.when(F.col("o_orderkey") % 5 == 0, F.lit("2024-02-30")).otherwise(F.col("date")))
+    rows = enrich_items(rows, ROOT, TODAY, "1").join(owners, "o_orderkey")
+    found = Q.problems(rows, "record", Q.item_rules(["filings.example"]))
+    return found.groupBy("official_id", "rule").agg(F.count("*").alias("problems"))
+
+
+@query(
+    "term_items",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0""",
+)
+def passed_in_term(spark, d):
+    """The passed items of the current term."""
+    term = F.when(F.col("o_orderkey") % 2 == 0, "current").otherwise("past")
+    rows = _items(spark, d).withColumns({"term": term, "pos": F.col("o_orderkey")})
+    return term_items(rows, "current", "passed").select("o_orderkey", "date")
+
+
+@query(
+    "item_provenance",
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN '{ROOT}' || ({_RECORD_ID}) END AS page, coalesce(CASE WHEN o_orderkey % 4 < 2 THEN '{ROOT}' || ({_RECORD_ID}) END, 'https://clerk.example/') AS source_url,
+        'Records' AS source_name, '{TODAY}' AS retrieved_at, '1' AS methodology_version, strftime(o_orderdate, '%Y-%m-%d') AS meeting_date FROM orders""",
+)
+def item_provenance(spark, d):
+    """The source of every item, its page or else the records as a whole."""
+    made = enrich_items(_items(spark, d), ROOT, TODAY, "1")
+    parts = ("source_url", "source_name", "retrieved_at", "methodology_version", "meeting_date")
+    return made.select("o_orderkey", F.col("source_url").alias("page"), *[F.col(f"provenance.{p}").alias(p) for p in parts])
+
+
+@query(
+    "amount_types",
+    "SELECT o_orderkey, true AS decimal_valid, true AS integer_valid, false AS text_valid, false AS boolean_valid, false AS null_valid FROM orders",
+)
+def amount_types(spark, d):
+    """A number is valid, what only looks like one is not."""
+    total = F.col("o_totalprice")
+    given = {"decimal": total.cast("decimal(18,2)"), "integer": F.col("o_orderkey"), "text": total.cast("string"), "boolean": total > 0, "null": F.lit(None).cast("double")}
+    return table(spark, d, "orders").select("o_orderkey", *[V.is_valid_amount(c).alias(f"{name}_valid") for name, c in given.items()])

@@ -10,6 +10,7 @@ from civictally.functions.values import BUSINESS_WORDS, PAC_WORDS, format_date,
 from civictally.operators import donors as D
 from civictally.operators import serving as S
 from civictally.operators.layout import treemap
+from civictally.operators.records import enrich_contributions
 from civictally.plans.registry import query, table
 
 AS_OF = "2026-06-15"
@@ -337,3 +338,17 @@ def first_k_array(spark, d):
     rows = S.first_k(table(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], "event_id", 8)
     ids = F.transform("first_values", lambda x: x.cast("string"))
     return rows.select("user_id", F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("ids"))
+
+
+@query(
+    "gift_provenance",
+    f"""WITH {LINKS} SELECT row_id, coalesce(source_url, 'https://filings.example/') AS source_url, nullif({strip_sql('committee_id')}, '') AS record_id,
+        period_beg_date::VARCHAR AS period_from, period_end_date::VARCHAR AS period_to FROM contributions c
+        LEFT JOIN links l ON {strip_sql('c.committee_id')} = l.id AND c.period_beg_date = l.f AND c.period_end_date = l.t""",
+)
+def gift_provenance(spark, d):
+    """Where each contribution is filed, and for which period."""
+    rows = D.attach_filings(table(spark, d, "contributions"), links(spark, d))
+    made = enrich_contributions(rows, "Exports", "https://filings.example/", AS_OF, "1")
+    period = F.col("provenance.reporting_period")
+    return made.select("row_id", F.col("provenance.source_url").alias("source_url"), "provenance.record_id", period["from"].alias("period_from"), period["to"].alias("period_to"))
