@@ -16,8 +16,9 @@ from civictally.session import cut, ship
 
 #: Words of a seed.
 SEED = 5
-#: Words of items that are handled together; larger item sets are handled in blocks of so many.
-BLOCK_WORDS = 100_000
+#: Words of items that are handled together (about 40 MB in a worker); larger item sets are handled in blocks
+#: of so many, each of which reads the documents twice.
+BLOCK_WORDS = 1_000_000
 CHUNK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -56,14 +57,14 @@ class Items:
         self.grams = [window_hashes(h, SEED) for h in self.hashes]
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
 
-    def seeds(self, frequency: dict[int, int], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    def seeds(self, frequency: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted seeds and the item of each: of every ``reach`` consecutive words of an
-        item (all of a shorter item) the seed rarest in the corpus."""
+        item (all of a shorter item) the seed rarest in the corpus. ``frequency`` goes with the vocabulary."""
         chosen, owner = [], []
         for i, grams in enumerate(self.grams):
             if not len(grams):
                 continue
-            rarity = np.array([frequency.get(int(g), 0) for g in grams.view(np.int64)])
+            rarity = frequency[np.searchsorted(self.vocabulary, grams)]
             order = np.lexsort((grams, rarity))
             rank = np.empty(len(grams), np.int64)
             rank[order] = np.arange(len(grams))
@@ -99,8 +100,9 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
-    """How often each seed of the block occurs in the corpus: at most as many rows as the block has seeds."""
+def _frequencies(texts: DataFrame, items: Items) -> np.ndarray:
+    """How often each seed of the block's vocabulary occurs in the corpus: the driver gets at most one
+    row a seed, as Arrow batches."""
 
     def count(batches):
         total: dict[int, int] = {}
@@ -113,7 +115,11 @@ def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
     rows = texts.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram: r.n for r in rows.collect()}
+    found = rows.toArrow()
+    out = np.zeros(len(items.vocabulary), np.int64)
+    grams = found.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+    out[np.searchsorted(items.vocabulary, grams)] = found.column("n").to_numpy()
+    return out
 
 
 def _aligned(texts: DataFrame, items: Items, item_type: T.DataType, reach: int) -> DataFrame:

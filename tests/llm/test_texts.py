@@ -60,6 +60,25 @@ def test_leaks(spark, monkeypatch, block_words):
     assert find_leaks(d, "doc_id", "text", i.where("false"), "item_id", "text").count() == 0
 
 
+def test_recall_of_edited_copies(spark, data):
+    """Items with a share of their words replaced, within other text; the figures stand in README."""
+    rng = random.Random(9)
+    items = spark.read.parquet(f"{data}/eval_items.parquet")
+    texts = [(r.item_id, r.text.split()) for r in items.collect() if r.text and len(r.text.split()) >= 20]
+    docs, want = [], {}
+    for percent in (5, 10, 20, 30):
+        for i, words in texts:
+            edited = [rng.choice(WORDS) if rng.randrange(100) < percent else w for w in words]
+            docs.append((len(docs), f"{text(rng, 40)} {' '.join(edited)} {text(rng, 40)}"))
+            want[docs[-1][0]] = (percent, i)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = find_leaks(df, "doc_id", "text", items, "item_id", "text").where("longest_run >= 13 or item_share >= 0.5")
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    recall = {p: sum((d, i) in found for d, (q, i) in want.items() if q == p) / len(texts) for p in (5, 10, 20, 30)}
+    print("recall of edited copies", recall)
+    assert recall[5] >= 0.99 and recall[10] >= 0.9 and recall[20] >= 0.6
+
+
 def brute(docs, width):
     holders = {}
     for i, t in docs:
