@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from civictally.llm.grams import hash_words, mix, space_words, whole_windows, window_hashes
 from civictally.operators.joins import BROADCAST_ROWS, lookup_join
-from civictally.session import cut, remove_path, shared_dir, ship
+from civictally.session import cut, remove_path, shared_dir, ship, stored
 
 #: Rows of the count-min sketch, each with its own hash function.
 DEPTH = 2
@@ -243,7 +243,7 @@ def shared_spans(
     cells = min(max_cells, max(BLOCK, 1 << (2 * expected).bit_length()))
     folder = f"{shared_dir(spark)}/sketch-{uuid.uuid4().hex}"
     _sketch(texts, width, cells, folder)
-    windows = cut(_maybe_repeated(texts, width, cells, _reachable(spark, folder)))
+    windows = stored(_maybe_repeated(texts, width, cells, _reachable(spark, folder)), "windows")
     remove_path(spark, folder)
     repeated = cut(
         windows.groupBy("proof")
