@@ -88,9 +88,16 @@ TRACKED = 10_000
 def hot_keys(df: DataFrame, key: Column, share: float = HOT_SHARE) -> list:
     """Keys that hold more than ``share`` of the rows and HOT_ROWS, at most 1 / share of them. One scan of the
     key's columns with a sketch of fixed size; a key close to the share may or may not be named."""
-    top = F.expr(f"approx_top_k(k, {round(1 / share)}, {TRACKED})").alias("top")
-    found, rows = df.select(key.alias("k")).agg(top, F.count("k")).first()
-    return [x["item"] for x in found or [] if x["item"] is not None and x["count"] > max(rows * share, HOT_ROWS)]
+    return hot_of(*df.select(key.alias("k")).agg(*key_counts(share)).first(), share)
+
+
+def key_counts(share: float = HOT_SHARE) -> list[Column]:
+    """What ``hot_of`` needs to know of the column ``k``."""
+    return [F.expr(f"approx_top_k(k, {round(1 / share)}, {TRACKED})").alias("top"), F.count("k").alias("rows")]
+
+
+def hot_of(top: list | None, rows: int, share: float = HOT_SHARE) -> list:
+    return [x["item"] for x in top or [] if x["item"] is not None and x["count"] > max(rows * share, HOT_ROWS)]
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, suspect: Column | None = None, of: DataFrame | None = None) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from civictally.operators.joins import dimension_join, hot_keys
+from civictally.operators.joins import hot_of, key_counts
 
 PRESENCE = -1
 
@@ -37,15 +37,15 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, fields: list[str])
     rows = df.select(
         F.col(snapshot).alias("s"), F.col(key).alias("k"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)]
     ).where("s is not null and k is not null")
-    # one row per delivery: the list of deliveries is small and ordered in one place
-    numbers = rows.select("s").distinct()
-    order = W.orderBy("s")
-    following = numbers.select(
-        "s", F.when(F.lag("s").over(order).isNotNull(), F.col("s")).alias("ends"), F.lead("s").over(order).alias("begins")
-    )
-    paired = dimension_join(rows.distinct(), following, "s", "inner")
+    # one scan tells the deliveries, a short list by nature, and the keys with a large share of all rows
+    seen = rows.agg(F.array_sort(F.collect_set("s")).alias("deliveries"), *key_counts()).first()
+    numbers = seen.deliveries
+    pairs = [(s, s if i else None, numbers[i + 1] if i + 1 < len(numbers) else None) for i, s in enumerate(numbers)]
+    kind = rows.schema["s"].dataType
+    following = df.sparkSession.createDataFrame(pairs, T.StructType([T.StructField(n, kind) for n in ("s", "ends", "begins")]))
+    paired = rows.distinct().join(F.broadcast(following), "s")
     # a record with a large share of all rows is not brought to one task: its cells are spread by value
-    hot = hot_keys(rows, F.col("k"))
+    hot = hot_of(seen.top, seen.rows)
     if not hot:
         return _differences(paired.repartition("k"), snapshot, key, fields)
     others = _differences(paired.where(~F.col("k").isin(hot)).repartition("k"), snapshot, key, fields)
