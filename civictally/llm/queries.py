@@ -164,16 +164,15 @@ def p9_shares(spark, d):
 
 @query(
     "p9_limits",
-    """SELECT source, true AS within_limit, true AS has_a_fair_part, true AS sums_to_one FROM
+    """SELECT source, true AS within_limit, true AS used_if_wanted, true AS sums_to_one FROM
         (SELECT source, sum(target_share) AS share FROM mix_targets WHERE source IS NOT NULL GROUP BY source)""",
 )
 def p9_limits(spark, d):
-    """What the report must keep: no text beyond its limit, no source far beyond its share unless another ran out, shares that sum to 1."""
+    """What the report must keep: no text beyond its limit, nothing used of a source without texts or share, shares that sum to 1."""
     report = _mixed(spark, d)[1]
     within = (F.col("tokens_used") <= F.col("tokens_available") * F.col("max_repeats")) & (F.col("most_uses") <= F.col("max_repeats"))
-    used = F.col("tokens_used") > 0
-    fair = (used == ((F.col("tokens_available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0))).alias("has_a_fair_part")
+    wanted = ((F.col("tokens_used") == 0) | ((F.col("tokens_available") > 0) & (F.col("target_share") > 0))).alias("used_if_wanted")
     sums = (F.abs(F.sum("share_reached").over(W.partitionBy(F.lit(1))) - 1) < 1e-9).alias("sums_to_one")
     # one row a source
-    checked = report.select("source", "target_share", within.alias("within_limit"), fair, sums)
+    checked = report.select("source", "target_share", within.alias("within_limit"), wanted, sums)
     return checked.where("target_share is not null").drop("target_share")
