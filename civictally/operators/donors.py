@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from civictally.functions.text import blank_to_null, clean_field, strip
 from civictally.functions.values import MONEY, donor_type, latest_year
 from civictally.operators.joins import dimension_join, numbered
+from civictally.session import cut
 
 # Contribution types that name a donor's gift.
 DONOR_TYPES = ("monetary contributions (itemized)", "non-monetary contributions (itemized)")
@@ -82,8 +83,9 @@ def donor_rollup(gifts: DataFrame, order: str, n: int | None = 30) -> DataFrame:
 def donor_contributions(gifts: DataFrame, donors: DataFrame, order: str, source: DataFrame | None = None) -> DataFrame:
     """O1: gifts of the kept donors with their place by date (undated first, then as given).
     ``source``: the contributions that the gifts come from, in which hot donors are looked for."""
-    # a few donors an official: a hot one stays where its gifts are
-    kept = dimension_join(gifts, donors.select("official_id", "donor", "donor_rank"), ["official_id", "donor"], "inner")
+    # a few donors an official, made once: a hot one stays where its gifts are
+    ranked = cut(donors.select("official_id", "donor", "donor_rank"))
+    kept = dimension_join(gifts, ranked, ["official_id", "donor"], "inner")
     return numbered(kept, ["official_id", "donor"], [F.col("contribution_date").asc_nulls_first(), F.col(order).asc()], "place", blank_to_null("contributor"), source)
 
 
